@@ -28,7 +28,7 @@ from sparkmat.llm import _text as X
 from sparkmat.llm._spark import stage
 from sparkmat.llm._tokens import cache
 
-SIZE, LEAST, LOOK_AHEAD, FAN_IN = 2048, 256, 256, 64
+SIZE, LEAST, LOOK_AHEAD, FAN_IN = 2048, 64, 256, 64
 #: More sources than this share queues by hash, so targets and queues stay bounded.
 MOST_QUEUES = 1024
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
