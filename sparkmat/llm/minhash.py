@@ -206,7 +206,8 @@ def residual_pairs(members: DataFrame, comp: DataFrame, sets: DataFrame, percent
     own = F.coalesce("component", "rep")
     labelled = members.select("key", "rep").join(comp, members["rep"] == comp["node"], "left").select("key", "rep", own.alias("comp"))
     labelled = stage(labelled, "labelled")
-    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    # A key of two members has no pair but the confirmed one.
+    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi and size > 2").select("key")
     left = stage(labelled.join(open_keys, "key", "left_semi").select(F.col("rep").alias("id"), "comp").distinct(), "residual")
     tokens = _tokens(sets.join(bounded(left.select("id")), "id", "left_semi"))
     common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -215,10 +216,13 @@ def residual_pairs(members: DataFrame, comp: DataFrame, sets: DataFrame, percent
     # Shingles that are in one set only are rarest: they come first in the prefix, and n - known of them are absent here.
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "token")) + F.col("n") - F.col("known")
     prefix = some.join(alive, "id").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    prefix = stage(prefix.join(left, "id").select("token", "id", "n", "comp"), "prefix")
+    prefix = stage(prefix.join(left, "id").select("token", "id", "n", "comp", "rank"), "prefix")
     meet = prefix.groupBy("token").agg(F.min("comp").alias("main"), F.max("comp").alias("hi")).where("main < hi").select("token", "main")
-    apart = prefix.join(meet, "token").where("comp <> main").select("token", F.col("id").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
-    pairs = apart.join(prefix, "token").where("ac <> comp").where((F.least("an", "n") * 100 >= F.greatest("an", "n") * percent))
+    apart = prefix.join(meet, "token").where("comp <> main").select("token", F.col("id").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), F.col("rank").alias("ar"))
+    # At the first shingle that a linked pair shares, enough must follow in both: (100 + percent) * overlap >= percent * (an + n).
+    rest = F.least(F.col("an") - F.col("ar"), F.col("n") - F.col("rank")) + 1
+    enough = rest * (100 + percent) >= (F.col("an") + F.col("n")) * percent
+    pairs = apart.join(prefix, "token").where("ac <> comp").where(enough)
     return pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
 
 
