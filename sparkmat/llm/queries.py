@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmat.llm import ann, langid, minhash, packing, pii, quality, substring, token_counts, warc
+from sparkmat.llm import ann, langid, minhash, packing, pii, quality, sampling, substring, token_counts, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"))
 
 
+def op6_sample_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.sample_digests(_read(spark, sf_dir, "documents"), k=3, alpha=0.5)
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _read(spark, sf_dir, "embeddings")
     return ann.search(table, table.where(F.col("vec_id") % 20 == 0))
@@ -55,7 +59,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_pii, op3_packing, op4_substring_dedup, op5_token_counts, op7_nearest_neighbours, op8_warc, op9_quality_rules, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_language_id, op2_pii, op3_packing, op4_substring_dedup, op5_token_counts, op6_sample_segmentations, op7_nearest_neighbours, op8_warc, op9_quality_rules, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
