@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sparkmat.llm import _text as X
 from sparkmat.llm._graph import components
-from sparkmat.llm._spark import bounded, stage, texts
+from sparkmat.llm._spark import bounded, stage, texts, unstage
 
 SHINGLE = 5
 CHUNKS, WIDTH = 8, 5
@@ -197,18 +197,20 @@ def _links(confirmed: DataFrame, percent: int) -> DataFrame:
     return confirmed.where(F.col("shared") * 100 >= F.col("united") * percent).select("a", "b")
 
 
-def residual_pairs(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def residual_pairs(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs in different components that a link could join, among the members of keys that span components.
 
     Exact pruning: a link needs ``percent`` of a set to be shared, so a set with too many shingles that no
-    other residual set has is alone, and linked sets meet in a shingle of the rarest ``100 - percent`` parts.
+    other residual set has is alone, and linked sets meet in a shingle of the rarest ``100 - percent`` parts. Removes ``members``; the pairs read the table returned with them.
     """
     own = F.coalesce("component", "rep")
     labelled = members.select("key", "rep").join(comp, members["rep"] == comp["node"], "left").select("key", "rep", own.alias("comp"))
     labelled = stage(labelled, "labelled")
+    unstage(members)
     # A key of two members has no pair but the confirmed one.
     open_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi and size > 2").select("key")
     left = stage(labelled.join(open_keys, "key", "left_semi").select(F.col("rep").alias("id"), "comp").distinct(), "residual")
+    unstage(labelled)
     tokens = _tokens(sets.join(bounded(left.select("id")), "id", "left_semi"))
     common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     some = stage(tokens.join(common, "token"), "tokens")
@@ -217,13 +219,14 @@ def residual_pairs(members: DataFrame, comp: DataFrame, sets: DataFrame, percent
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "token")) + F.col("n") - F.col("known")
     prefix = some.join(alive, "id").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     prefix = stage(prefix.join(left, "id").select("token", "id", "n", "comp", "rank"), "prefix")
+    unstage(some, left)
     meet = prefix.groupBy("token").agg(F.min("comp").alias("main"), F.max("comp").alias("hi")).where("main < hi").select("token", "main")
     apart = prefix.join(meet, "token").where("comp <> main").select("token", F.col("id").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), F.col("rank").alias("ar"))
     # At the first shingle that a linked pair shares, enough must follow in both: (100 + percent) * overlap >= percent * (an + n).
     rest = F.least(F.col("an") - F.col("ar"), F.col("n") - F.col("rank")) + 1
     enough = rest * (100 + percent) >= (F.col("an") + F.col("n")) * percent
     pairs = apart.join(prefix, "token").where("ac <> comp").where(enough)
-    return pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    return pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), prefix
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -239,10 +242,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     stars = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     ids = stage(members.select(F.col("rep").alias("id")).distinct(), "ids")
     sets = stage(sets_of(docs, bounded(ids)), "sets")
+    unstage(ids)
     links = stage(_links(confirm(stars, sets), percent), "links")
     comp = stage(components(links), "components")
-    more = _links(confirm(residual_pairs(members, comp, sets, percent), sets), percent)
+    pairs, prefix = residual_pairs(members, comp, sets, percent)
+    more = stage(_links(confirm(pairs, sets), percent), "links")
+    unstage(prefix, sets, comp)
     comp = stage(components(links.unionByName(more)), "components")
+    unstage(links, more)
     labelled = classed.select("doc_id", "rep").distinct().join(comp, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     out = found.select("doc_id", "n_shingles").join(labelled, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept"))
