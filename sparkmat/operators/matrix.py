@@ -123,3 +123,27 @@ def unique_names(names: DataFrame) -> DataFrame:
     """Repeats of a name get _1, _2, ... in order of position."""
     r = F.row_number().over(Window.partitionBy("name").orderBy("pos")) - 1
     return names.select("pos", F.when(r > 0, F.concat_ws("_", "name", r.cast("string"))).otherwise(F.col("name")).alias("unique_name"))
+
+
+def aggregate_annotated(x: DataFrame, obs: DataFrame, by: list[str], min_count: int = 0) -> DataFrame:
+    """``aggregate`` by the joined values of obs columns, groups under ``min_count`` cells left out, with each group's n_obs."""
+    label = obs.select("cell", F.concat_ws("_", *(F.col(c).cast("string") for c in by)).alias("grp"))
+    size = label.groupBy("grp").agg(F.count(F.lit(1)).alias("n_obs")).where(F.col("n_obs") >= min_count)
+    return aggregate(x, label.join(size, "grp", "left_semi")).join(size, "grp")
+
+
+def scale_by(x: DataFrame, factors: DataFrame, axis: str = "cell") -> DataFrame:
+    """Values times the factor of their cell or gene (axis, factor); entries without one are 0 and go."""
+    return x.join(factors, axis).select("cell", "gene", (F.col("value") * F.col("factor")).alias("value"))
+
+
+def take(x: DataFrame, index: DataFrame, axis: str = "cell") -> DataFrame:
+    """The rows (or columns) of (pos, axis) in that order: repeats stay, ids become positions."""
+    other = "gene" if axis == "cell" else "cell"
+    return x.join(index, axis).select(F.col("pos").alias(axis), other, "value").select("cell", "gene", "value")
+
+
+def one_hot(groups: DataFrame) -> DataFrame:
+    """(cell, comp, weight) indicators of (cell, grp): comp counts the sorted groups from 0; nulls have no entry."""
+    names = groups.where("grp is not null").select("grp").distinct().withColumn("comp", F.row_number().over(Window.orderBy("grp")) - 1)
+    return groups.join(names, "grp").select("cell", "comp", F.lit(1.0).alias("weight"))

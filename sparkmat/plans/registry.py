@@ -14,30 +14,16 @@ from pyspark.sql import functions as F
 
 from sparkmat.operators import graph as G
 from sparkmat.operators import matrix as M
+from sparkmat.plans import analysis
+from sparkmat.plans.tables import CELLS as _C
+from sparkmat.plans.tables import EDGES as _E
+from sparkmat.plans.tables import MATRIX as _X
+from sparkmat.plans.tables import edges, groups, matrix
+from sparkmat.plans.tables import table as _table
 
-_X = "X AS (SELECT l_suppkey AS cell, l_partkey % 50 AS gene, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2)"
-_C = "C AS (SELECT s_suppkey AS cell, s_nationkey AS grp FROM supplier)"
-_E = "E0 AS (SELECT l_suppkey % 40 AS a, l_partkey % 40 AS b FROM lineitem WHERE l_suppkey % 40 <> l_partkey % 40 AND l_orderkey % 5 = 0), G AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM (SELECT a AS src, b AS dst FROM E0 UNION ALL SELECT b, a FROM E0) GROUP BY 1, 2)"
 _GENES = [1, 2, 3, 5, 8, 13]
 
 
-def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def matrix(spark, sf):
-    return _table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("cell"), (F.col("l_partkey") % 50).alias("gene")).agg(F.sum("l_quantity").alias("value"))
-
-
-def groups(spark, sf):
-    return _table(spark, sf, "supplier").select(F.col("s_suppkey").alias("cell"), F.col("s_nationkey").alias("grp"))
-
-
-def edges(spark, sf):
-    e = _table(spark, sf, "lineitem").where("l_orderkey % 5 = 0").select((F.col("l_suppkey") % 40).alias("src"), (F.col("l_partkey") % 40).alias("dst")).where("src <> dst")
-    return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-
-
 def _scores(g):
     """One deterministic value per node."""
     return g.groupBy(F.col("src").alias("node")).agg((F.first("src") % 7 + 1).cast("double").alias("value"))
@@ -106,6 +92,8 @@ _ALL: dict[str, tuple[Callable, str | None]] = {
     "autocorrelation": (lambda s, d: G.autocorrelation(e := edges(s, d), _scores(e)), f"WITH {_E}, {_NODES}, T AS (SELECT avg(value) AS m, count(*) AS n, sum(value * value) - sum(value) * sum(value) / count(*) AS ss FROM S), J AS (SELECT weight AS w, a.value - m AS u, b.value - m AS v, n, ss FROM G JOIN S a ON a.node = src JOIN S b ON b.node = dst CROSS JOIN T) SELECT round(max(n) * sum(w * u * v) / (sum(w) * max(ss)), 6) AS moran, round((max(n) - 1) * sum(w * (u - v) * (u - v)) / (2 * sum(w) * max(ss)), 6) AS geary FROM J"),
 }
 
+_ALL |= analysis.ALL
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def of(query):

@@ -1 +1 @@
-""""""
+"""Import of matrices and datasets of named tables."""

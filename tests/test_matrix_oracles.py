@@ -8,7 +8,7 @@ import pytest
 from sparkmat.plans import registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("lineitem", "supplier", "part")
+TABLES = ("lineitem", "supplier", "part", "nation", "orders", "customer", "events", "embeddings")
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +20,8 @@ def duck():
 
 
 def close(a, b):
+    if isinstance(a, float) and isinstance(b, float) and math.isnan(a):
+        return math.isnan(b)
     return a == b or a is not None and b is not None and math.isclose(a, b, rel_tol=1e-9, abs_tol=2e-6)
 
 
