@@ -74,7 +74,7 @@ def assess_enrichment(scores: DataFrame, markers: DataFrame) -> DataFrame:
     var = F.col("pos") * F.col("size") / F.col("n") * (1 - F.col("size") / F.col("n"))
     value = F.when(lam > 0, lam * lam / (2 * (var + lam / 3)) / F.log(F.lit(10.0))).otherwise(0.0)
     best = hits.withColumn("value", F.round(value, 9)).groupBy("grp", "label").agg(F.max(F.struct("value", (-F.col("pos")).alias("back"))).alias("b"))
-    return best.select("grp", "label", F.col("b.value").alias("log_p"), (-F.col("b.back")).alias("threshold"))
+    return best.select("grp", "label", F.col("b.value").alias("log_p"), (-F.col("b.back")).cast("long").alias("threshold"))
 
 
 def annotate_clusters(specificity: DataFrame, markers: DataFrame) -> DataFrame:

@@ -79,13 +79,21 @@ def multiply(cells: DataFrame, m: np.ndarray) -> DataFrame:
 
 
 def gram(cells: DataFrame, k: int) -> np.ndarray:
-    """Sum of vec' vec, by one aggregation."""
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    r = cells.agg(*(F.sum(F.col("vec")[i] * F.col("vec")[j]).alias(f"s{n}") for n, (i, j) in enumerate(pairs))).first()
-    out = np.zeros((k, k))
-    for n, (i, j) in enumerate(pairs):
-        out[i, j] = out[j, i] = r[n] or 0.0
-    return out
+    """Sum of vec' vec: a block product for each partition, then sums of its k * k entries."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((k, k))
+        for t in parts:
+            if len(t):
+                v = np.stack(t["vec"].to_numpy())
+                total += v.T @ v
+        yield pd.DataFrame({"at": np.arange(k * k), "v": total.ravel()})
+
+    rows = cells.select("vec").mapInPandas(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(k * k)
+    for r in rows:
+        out[r.at] = r.v
+    return out.reshape(k, k)
 
 
 def signs(v: np.ndarray) -> np.ndarray:

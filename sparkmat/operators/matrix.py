@@ -145,5 +145,5 @@ def take(x: DataFrame, index: DataFrame, axis: str = "cell") -> DataFrame:
 
 def one_hot(groups: DataFrame) -> DataFrame:
     """(cell, comp, weight) indicators of (cell, grp): comp counts the sorted groups from 0; nulls have no entry."""
-    names = groups.where("grp is not null").select("grp").distinct().withColumn("comp", F.row_number().over(Window.orderBy("grp")) - 1)
+    names = groups.where("grp is not null").select("grp").distinct().withColumn("comp", (F.row_number().over(Window.orderBy("grp")) - 1).cast("long"))
     return groups.join(names, "grp").select("cell", "comp", F.lit(1.0).alias("weight"))

@@ -294,7 +294,7 @@ def node_colors(coords: DataFrame) -> DataFrame:
 def match_by_rank(u: DataFrame, v: DataFrame, u_least: float = 0, v_least: float = 0) -> DataFrame:
     """Matching for rank-one weights of (id, value): the i-th largest of u with the i-th largest of v, over the limits."""
     rank = lambda t, name, least: t.where(F.col("value") > least).select(F.col("id").alias(name), F.row_number().over(Window.orderBy(F.desc("value"), "id")).alias("rank"))
-    return rank(u, "u", u_least).join(rank(v, "v", v_least), "rank").select("u", "v", "rank")
+    return rank(u, "u", u_least).join(rank(v, "v", v_least), "rank").select("u", "v", F.col("rank").cast("long").alias("rank"))
 
 
 def assignment(w: np.ndarray) -> list[tuple[int, int]]:

@@ -25,7 +25,7 @@ def sort_categories(t: DataFrame, column: str) -> DataFrame:
     c = F.col("category")
     number = c.try_cast("double")
     place = F.row_number().over(Window.orderBy(c.isNull(), number.isNull(), number, c))
-    return t.select(F.col(column).cast("string").alias("category")).distinct().select("category", place.alias("place"))
+    return t.select(F.col(column).cast("string").alias("category")).distinct().select("category", place.cast("long").alias("place"))
 
 
 def color_kind(t: DataFrame, column: str, most: int = 50) -> str:

@@ -138,7 +138,7 @@ ALL = {
     "assess_enrichment": (lambda s, d: A.assess_enrichment(_group_scores(s, d), _markers(s)), f"WITH {_ENRICH} SELECT grp, label, round(log_p, 6) AS log_p, threshold FROM EN"),
     "annotate_clusters": (lambda s, d: A.annotate_clusters(_group_scores(s, d).withColumnRenamed("score", "upper"), _markers(s)), f"WITH {_ENRICH} SELECT grp, label, round(log_p, 6) AS confidence FROM EN QUALIFY row_number() OVER (PARTITION BY grp ORDER BY log_p DESC, label) = 1"),
     "archetype_specificity": (lambda s, d: A.archetype_specificity(matrix(s, d), _members(s, d), groups(s, d).count(), 50), _ARCH),
-    "impute_archetypes": (lambda s, d: A.impute_archetypes(_members(s, d), _archetype_profile(s)), f"WITH {CELLS}, {_H}, Z AS (SELECT i % 3 AS comp, i // 3 AS gene, i % 11 - 4 AS value FROM range(150) t(i)) SELECT cell, gene, round(greatest(sum(weight * value), 0), 6) AS value FROM H JOIN Z USING (comp) GROUP BY 1, 2"),
+    "impute_archetypes": (lambda s, d: A.impute_archetypes(_members(s, d), _archetype_profile(s)), f"WITH {CELLS}, {_H}, Z AS (SELECT i % 3 AS comp, i // 3 AS gene, i % 11 - 4 AS value FROM range(150) t(i)) SELECT cell, gene, round(CAST(greatest(sum(weight * value), 0) AS DOUBLE), 6) AS value FROM H JOIN Z USING (comp) GROUP BY 1, 2"),
     "impute_diffusion": (_impute_diffusion, _diffused(3, 0.85)),
     "xicor": (
         lambda s, d: A.xicor(table(s, d, "orders").select(F.col("o_orderpriority").alias("grp"), F.col("o_totalprice").alias("x"), F.col("o_custkey").alias("y"), F.col("o_orderkey").alias("pos"))),
