@@ -39,7 +39,7 @@ def color_kind(t: DataFrame, column: str, most: int = 50) -> str:
 
 def palette(categories: DataFrame, colors: list[str]) -> DataFrame:
     """(category, color) of ``sort_categories``, colours in turn."""
-    return categories.select("category", F.element_at(F.array(*map(F.lit, colors)), (F.col("place") - 1) % len(colors) + 1).alias("color"))
+    return categories.select("category", F.element_at(F.array(*map(F.lit, colors)), ((F.col("place") - 1) % len(colors) + 1).cast("int")).alias("color"))
 
 
 def hex_color(r: Column, g: Column, b: Column) -> Column:
