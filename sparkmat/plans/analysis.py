@@ -114,7 +114,7 @@ def _events(s, d):
 
 
 def _loadings(s, d):
-    return D.run_svd(matrix(s, d), 5).gene_table().where("comp < 1")
+    return D.run_svd(matrix(s, d), 5).gene_table()
 
 
 def _reduced(s, d, f):
