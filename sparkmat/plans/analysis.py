@@ -13,7 +13,7 @@ from sparkmat.operators import matrix as M
 from sparkmat.operators import mixture as U
 from sparkmat.operators import network as N
 from sparkmat.operators import plotdata as P
-from sparkmat.plans.tables import CELLS, EDGES, MATRIX, edges, groups, matrix, table
+from sparkmat.plans.tables import CELLS, EDGES, MATRIX, edges, groups, matrix, table, whole_graph
 
 _ND = NormalDist()
 
@@ -84,8 +84,8 @@ def _pagerank_sql(rounds: int, alpha: float) -> str:
     return f"WITH {', '.join(parts)} SELECT node, round(value, 6) AS value FROM X{rounds}"
 
 
-def _labels(s, d):
-    return N.nodes(edges(s, d)).withColumn("label", F.col("node") % 3)
+def _labels(g):
+    return N.nodes(g).withColumn("label", F.col("node") % 3)
 
 
 def _fits(s, d):
@@ -148,13 +148,13 @@ ALL = {
     "build_network_knn": (lambda s, d: N.knn_network(_vectors(s, d), 10, "ip"), f"WITH {_NN}, W AS (SELECT src, dst, 1 - distance / max(distance) OVER () AS w FROM NK) SELECT a.src, a.dst, round(sqrt(a.w * b.w), 6) AS weight FROM W a JOIN W b ON a.src = b.dst AND a.dst = b.src"),
     "build_network_kstar": (lambda s, d: N.kstar_weights(N.neighbours(_vectors(s, d), 10, "ip")), _KSTAR),
     "pagerank": (lambda s, d: N.pagerank(edges(s, d)), _pagerank_sql(5, 0.9)),
-    "local_pagerank": (lambda s, d: N.local_pagerank(edges(s, d), _labels(s, d)), None),
-    "coreness": (lambda s, d: N.coreness(edges(s, d)), None),
-    "local_coreness": (lambda s, d: N.local_coreness(edges(s, d), _labels(s, d)), None),
-    "label_propagation": (lambda s, d: N.propagate_labels(edges(s, d), _labels(s, d)), None),
+    "local_pagerank": (lambda s, d: N.local_pagerank(g := whole_graph(s, d), _labels(g)), None),
+    "coreness": (lambda s, d: N.coreness(whole_graph(s, d)), None),
+    "local_coreness": (lambda s, d: N.local_coreness(g := whole_graph(s, d), _labels(g)), None),
+    "label_propagation": (lambda s, d: N.propagate_labels(g := whole_graph(s, d), _labels(g)), None),
     "cluster_network": (lambda s, d: N.cluster(N.knn_network(_vectors(s, d), 10, "ip")), None),
-    "modularity": (lambda s, d: N.modularity(edges(s, d), _labels(s, d)), f"WITH {EDGES}, T AS (SELECT sum(weight) AS t FROM G), K AS (SELECT sum(k * k) AS kk FROM (SELECT src % 3 AS l, sum(weight) AS k FROM G GROUP BY 1)) SELECT round((SELECT sum(weight) FROM G WHERE src % 3 = dst % 3) / t - kk / t / t, 6) AS modularity FROM T, K"),
-    "layout_network": (lambda s, d: N.layout(edges(s, d), N.nodes(edges(s, d)).select("node", (F.col("node") % 7).cast("double").alias("x"), (F.col("node") % 5).cast("double").alias("y")), 10), None),
+    "modularity": (lambda s, d: N.modularity(g := edges(s, d), _labels(g)), f"WITH {EDGES}, T AS (SELECT sum(weight) AS t FROM G), K AS (SELECT sum(k * k) AS kk FROM (SELECT src % 3 AS l, sum(weight) AS k FROM G GROUP BY 1)) SELECT round((SELECT sum(weight) FROM G WHERE src % 3 = dst % 3) / t - kk / t / t, 6) AS modularity FROM T, K"),
+    "layout_network": (lambda s, d: N.layout(g := whole_graph(s, d), N.nodes(g).select("node", (F.col("node") % 7).cast("double").alias("x"), (F.col("node") % 5).cast("double").alias("y")), 10), None),
     "node_colors": (lambda s, d: N.node_colors(_vectors(s, d).select(F.col("cell").alias("node"), *(F.col("vec")[i].alias(c) for i, c in enumerate("abc")))), None),
     "match_by_rank": (
         lambda s, d: N.match_by_rank(table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("value")), table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"))),

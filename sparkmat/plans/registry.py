@@ -1,8 +1,9 @@
 """Queries of the matrix operators over the driver's tables, with their SQL oracles.
 
 The matrix: cells are suppliers, genes are part keys modulo 50, values summed quantities; cells are
-grouped by nation. The graph: 40 nodes, edges counted from line items and made symmetric. Results are
-rounded to 6 digits on both sides.
+grouped by nation. Graph queries without SQL use the whole graph of suppliers and parts. Those with SQL use a
+sample, as their SQL does: line items of every fifth order key, keys modulo 40, so at most 40 nodes. Results
+are rounded to 6 digits on both sides.
 """
 
 from __future__ import annotations
