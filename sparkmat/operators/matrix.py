@@ -5,21 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkmat.operators.network import cut, drop
 
-def filter_masks(x: DataFrame, min_cells: int = 0, min_genes: int = 0, min_total: float = 0, max_total: float | None = None, rounds: int = 10) -> DataFrame:
-    """Rows and columns are judged together on the same submatrix, again and again until nothing goes."""
-    size = None
-    for _ in range(rounds):
-        cells = x.groupBy("cell").agg(F.sum("value").alias("t"), F.count(F.lit(1)).alias("n")).where((F.col("t") >= min_total) & (F.col("n") >= min_genes))
+
+def filter_masks(x: DataFrame, min_cells: int = 0, min_genes: int = 0, min_total: float = 0, max_total: float | None = None) -> DataFrame:
+    """Rows and columns are judged together on the same submatrix, again and again until nothing goes.
+
+    A round writes only the cells and genes that stay, so plans stay short and the disk holds ``x`` once.
+    """
+    x = now = cut(x)
+    size, before = None, []
+    while True:
+        cells = now.groupBy("cell").agg(F.sum("value").alias("t"), F.count(F.lit(1)).alias("n")).where((F.col("t") >= min_total) & (F.col("n") >= min_genes))
         if max_total is not None:
             cells = cells.where(F.col("t") <= max_total)
-        genes = x.groupBy("gene").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_cells)
-        x = x.join(cells.select("cell"), "cell", "left_semi").join(genes.select("gene"), "gene", "left_semi")
-        now = x.count()
-        if now == size:
-            break
-        size = now
-    return x
+        genes = now.groupBy("gene").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_cells)
+        kept = [cut(cells.select("cell")), cut(genes.select("gene"))]
+        drop(*before)
+        now = x.join(kept[0], "cell", "left_semi").join(kept[1], "gene", "left_semi")
+        left = now.count()
+        if left == size:
+            return now
+        size, before = left, kept
 
 
 def row_total(x: DataFrame, axis: str = "cell") -> Column:

@@ -30,7 +30,16 @@ def cut(df: DataFrame) -> DataFrame:
         root = spark.sparkContext.getCheckpointDir()
     path = f"{root.rstrip('/')}/state-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sparkmat_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove what ``cut`` wrote; nothing may read it any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._sparkmat_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _unit(a: np.ndarray, metric: str) -> np.ndarray:
