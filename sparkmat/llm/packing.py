@@ -1,12 +1,15 @@
 """Mixture-controlled packing by deficit round-robin.
 
-Documents are tokenised where they are read and queue by source. Every window (one sequence of ``size``
-ids) grants each source its target share of the window on top of the deficit it still has; sources are
-served in turn, up to their deficits and in pieces of ``least`` ids or more, and what a source is still
+Documents are tokenised where they are read and queue by source, and every window (one sequence of
+``size`` ids) grants each source its target share of the window on top of the deficit it still has; sources
+are served in turn, up to their deficits and in pieces of ``least`` ids or more, and what a source is still
 owed goes to the next window. If no source with documents is owed anything, the one owed most (or ahead
-least) fills the rest: windows are always full. What is left of a task's documents (less than a window)
-and its deficits go to a second packing over ``fan_in`` tasks, which starts from the sum of those deficits;
-so there is at most one padded sequence per ``fan_in`` tasks.
+least) fills the rest: windows are always full. What is left of a task's documents (less than a window) goes
+to a second packing over ``FAN_IN`` tasks, which starts from what those tasks owe together; so there is at
+most one padded sequence per ``FAN_IN`` tasks.
+
+A deficit is the source's share of all windows so far less what it was served. Shares travel with the rows,
+and a task holds queues of sources with documents waiting only, so the number of sources is not limited.
 
 Targets default to the sources' shares of the bytes of all rows, since every document is packed whole;
 other targets hold for as long as the sources last. Null and empty texts are the end id alone; a null
@@ -15,6 +18,7 @@ source is the source ''. Repeated rows are packed each. Extra columns are ignore
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import deque
 
@@ -25,54 +29,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkmat.llm import _text as X
-from sparkmat.llm._spark import stage
+from sparkmat.llm._spark import bounded, stage
 from sparkmat.llm._tokens import cache
 
 SIZE, LEAST, LOOK_AHEAD, FAN_IN = 2048, 64, 256, 64
-#: More sources than this share queues by hash, so targets and queues stay bounded.
-MOST_QUEUES = 1024
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
-_SCHEMA = PIECES + ", tail_group long, deficit double, ids binary"
+_SCHEMA = PIECES + ", tail_group long, share double, served long, windows long, ids binary"
 _NAMES = [c.split()[0] for c in _SCHEMA.split(", ")]
 
 
 class Packer:
     """Packs queued documents into windows; ``rows`` collects the pieces."""
 
-    def __init__(self, targets: dict[str, float], size: int, least: int, sequence: int, deficits: dict[str, float] | None = None):
+    def __init__(self, targets: dict[str, float], size: int, least: int, sequence: int, served: dict[str, int] | None = None, windows: int = 0):
         self.size, self.least, self.sequence = size, least, sequence
-        self.targets = targets
-        self.deficit = {s: 0.0 for s in targets} | (deficits or {})
-        self.queues: dict[str, deque] = {s: deque() for s in targets}
+        self.targets = dict(targets)
+        self.served = dict(served or {})
+        self.windows = windows
+        self.queues: dict[str, deque] = {}
         self.turn = 0
         self.left = 0
         self.rows: list[list] = [[] for _ in _NAMES]
 
     def add(self, source: str, doc_id: int, ids: np.ndarray, start: int, total: int) -> None:
-        if source not in self.queues:
-            self.queues[source], self.deficit[source] = deque(), self.deficit.get(source, 0.0)
-        self.queues[source].append([doc_id, ids, 0, start, total])
+        self.queues.setdefault(source, deque()).append([doc_id, ids, 0, start, total])
         self.left += len(ids)
 
+    def deficit(self, source: str) -> float:
+        return self.targets.get(source, 0.0) * self.size * self.windows - self.served.get(source, 0)
+
     def _emit(self, source: str, want: int, offset: int) -> int:
         """Take ``want`` ids at most from the head of a queue into the open window; the number taken."""
         head = self.queues[source][0]
         doc_id, ids, at, start, total = head
         n = min(want, len(ids) - at)
         part = ids[at : at + n]
-        for column, v in zip(self.rows, (doc_id, start + at, n, zlib.crc32(part.astype("<u4").tobytes()), total, self.sequence, offset, source, None, None, None)):
+        for column, v in zip(self.rows, (doc_id, start + at, n, zlib.crc32(part.astype("<u4").tobytes()), total, self.sequence, offset, source, None, None, None, None, None)):
             column.append(v)
         head[2] += n
         if head[2] == len(ids):
             self.queues[source].popleft()
-        self.deficit[source] -= n
+        self.served[source] = self.served.get(source, 0) + n
         self.left -= n
         return n
 
     def window(self) -> None:
         """Fill one sequence (the last may be short)."""
-        for s, share in self.targets.items():
-            self.deficit[s] += share * self.size
+        self.windows += 1
         order = list(self.queues)
         filled = 0
         for k in range(len(order)):
@@ -80,59 +83,68 @@ class Packer:
             queue = self.queues[s]
             while queue and filled < self.size:
                 head, room = queue[0], self.size - filled
-                owed = int(min(self.deficit[s], room))
+                owed = int(min(self.deficit(s), room))
                 if owed < min(self.least, len(head[1]) - head[2], room):
                     break
                 filled += self._emit(s, owed, filled)
             if filled == self.size:
                 break
         self.turn = (self.turn + k + 1) % len(order)
-        while filled < self.size and self.left:
-            s = max((s for s in order if self.queues[s]), key=self.deficit.__getitem__)
-            filled += self._emit(s, self.size - filled if self.left <= self.size - filled else min(self.size - filled, max(self.least, int(self.deficit[s]))), filled)
+        if filled < self.size and self.left:
+            most = [(-self.deficit(s), i, s) for i, s in enumerate(order) if self.queues[s]]
+            heapq.heapify(most)
+            while filled < self.size and most:
+                ahead, i, s = heapq.heappop(most)
+                filled += self._emit(s, self.size - filled if self.left <= self.size - filled else min(self.size - filled, max(self.least, int(-ahead))), filled)
+                if self.queues[s]:
+                    heapq.heappush(most, (-self.deficit(s), i, s))
+        for s in order:
+            if not self.queues[s]:
+                del self.queues[s]
         self.sequence += 1
 
     def batch(self) -> pa.RecordBatch:
-        types = [pa.int64()] * 7 + [pa.string(), pa.int64(), pa.float64(), pa.binary()]
+        types = [pa.int64()] * 7 + [pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.binary()]
         out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(self.rows, types)], _NAMES)
         self.rows = [[] for _ in _NAMES]
         return out
 
     def remains(self, group: int) -> pa.RecordBatch:
-        """What is still queued, ids included, and a row of no ids with its deficit for each source."""
+        """What is still queued, ids included; a row for what each source was served and one for the windows."""
+        blank = (0, 0, 0, 0, 0, 0, 0)
+        more = [(*blank, s, group, None, n, None, None) for s, n in self.served.items()] + [(*blank, "", group, None, None, self.windows, None)]
         for s, queue in self.queues.items():
-            for column, v in zip(self.rows, (0, 0, 0, 0, 0, 0, 0, s, group, self.deficit[s], None)):
+            more += [(doc_id, start + at, len(ids) - at, 0, total, 0, 0, s, group, self.targets.get(s, 0.0), None, None, ids[at:].tobytes()) for doc_id, ids, at, start, total in queue]
+        for row in more:
+            for column, v in zip(self.rows, row):
                 column.append(v)
-            for doc_id, ids, at, start, total in queue:
-                for column, v in zip(self.rows, (doc_id, start + at, len(ids) - at, 0, total, 0, 0, s, group, None, ids[at:].tobytes())):
-                    column.append(v)
         return self.batch()
 
 
-def source_shares(docs: DataFrame, queue) -> dict[str, float]:
-    rows = docs.groupBy(queue.alias("q")).agg(F.sum(F.coalesce(F.octet_length(F.col("text")), F.lit(0)) + 1).alias("n")).orderBy("q").collect()
-    total = sum(r.n for r in rows) or 1
-    return {r.q: r.n / total for r in rows}
-
-
-def queue_column(docs: DataFrame):
-    """The source, or a hash of it where there are more sources than queues."""
-    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    many = docs.select(source.alias("s")).distinct().limit(MOST_QUEUES + 1).count() > MOST_QUEUES
-    return F.pmod(F.xxhash64(source), F.lit(MOST_QUEUES)).cast("string") if many else source
+def source_bytes(rows: DataFrame) -> DataFrame:
+    """source, n: bytes of its texts, one more for each row."""
+    return stage(rows.groupBy("source").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("n")), "sources")
 
 
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", size: int = SIZE, end_id: int = 1, targets: dict[str, float] | None = None, least: int = LEAST) -> DataFrame:
     """``PIECES``: each id of each document (with the end id) in exactly one piece; offsets are gapless in a sequence."""
-    queue = queue_column(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), queue.alias("source"))
-    shares = targets if targets is not None else source_shares(docs, queue)
+    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), source.alias("source"))
+    sizes = source_bytes(rows)
+    total = sizes.agg(F.sum("n")).first()[0] or 1
+    share = F.col("n") / total
+    if targets is not None:
+        given = docs.sparkSession.createDataFrame(list(targets.items()), "source string, target double")
+        sizes, share = sizes.join(given, "source", "left"), F.coalesce("target", F.lit(0.0))
+    shares = stage(sizes.select("source", share.alias("share")), "shares")
+    rows = rows.join(bounded(shares), "source").select("doc_id", "text", "source", "share")
 
     def run(batches):
         ids_of, task = cache(tokenizer), TaskContext.get().partitionId()
-        packer = Packer(shares, size, least, task << 32)
+        packer = Packer({}, size, least, task << 32)
         for batch in batches:
             names, sources = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            packer.targets.update(zip(sources, batch.column(3).to_pylist()))
             for lo, hi, data, offsets in X.blocks(batch.column(1)):
                 ids, at = ids_of.tokens(data, offsets)
                 for j in range(hi - lo):
@@ -150,19 +162,20 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", size: int = SIZE
         yield packer.remains(task // FAN_IN)
 
     def finish(key, table):
-        order = sorted(table.to_pylist(), key=lambda r: (r["doc_id"], r["start"]))
-        deficits: dict[str, float] = {}
-        for r in order:
-            if r["deficit"] is not None:
-                deficits[r["source"]] = deficits.get(r["source"], 0.0) + r["deficit"]
-        packer = Packer(shares, size, least, 1 << 62 | key[0].as_py() << 32, dict(sorted(deficits.items())))
+        rows = table.to_pylist()
+        served = {r["source"]: r["served"] for r in rows if r["served"] is not None}
+        order = sorted((r for r in rows if r["ids"]), key=lambda r: (r["doc_id"], r["start"]))
+        shares = {r["source"]: r["share"] for r in order}
+        packer = Packer(shares, size, least, 1 << 62 | key[0].as_py() << 32, served, sum(r["windows"] or 0 for r in rows))
         for r in order:
-            if r["ids"]:
-                packer.add(r["source"], r["doc_id"], np.frombuffer(r["ids"], np.uint16), r["start"], r["doc_tokens"])
+            packer.add(r["source"], r["doc_id"], np.frombuffer(r["ids"], np.uint16), r["start"], r["doc_tokens"])
         while packer.left:
             packer.window()
         return pa.Table.from_batches([packer.batch()]).select(_NAMES[:8])
 
     packed = stage(rows.mapInArrow(run, _SCHEMA), "packing")
-    tails = packed.where("tail_group is not null").groupBy("tail_group").applyInArrow(finish, PIECES)
+    tails = packed.where("tail_group is not null")
+    waiting = tails.where("ids is not null").select("tail_group", "source").distinct()
+    served = tails.where("served is not null").groupBy("tail_group", "source").agg(F.sum("served").alias("served")).join(waiting, ["tail_group", "source"], "left_semi")
+    tails = tails.where("served is null").unionByName(served, allowMissingColumns=True).groupBy("tail_group").applyInArrow(finish, PIECES)
     return packed.where("tail_group is null").select(*_NAMES[:8]).unionByName(tails)
