@@ -1,6 +1,7 @@
 """Mixture-controlled packing by deficit round-robin.
 
-Documents are tokenised where they are read and queue by source, and every window (one sequence of
+Rows are first dealt over tasks in turns and put in the order of a hash, so every task reads each source in
+proportion however the table is laid out. Documents queue by source, and every window (one sequence of
 ``size`` ids) grants each source its target share of the window on top of the deficit it still has; sources
 are served in turn, up to their deficits and in pieces of ``least`` ids or more, and what a source is still
 owed goes to the next window. If no source with documents is owed anything, the one owed most (or ahead
@@ -33,6 +34,8 @@ from sparkmat.llm._spark import bounded, stage
 from sparkmat.llm._tokens import cache
 
 SIZE, LEAST, LOOK_AHEAD, FAN_IN = 2048, 64, 256, 64
+#: Bytes of text a task packs.
+TASK_BYTES = 16 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 _SCHEMA = PIECES + ", tail_group long, share double, served long, windows long, ids binary"
 _NAMES = [c.split()[0] for c in _SCHEMA.split(", ")]
@@ -137,7 +140,9 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", size: int = SIZE
         given = docs.sparkSession.createDataFrame(list(targets.items()), "source string, target double")
         sizes, share = sizes.join(given, "source", "left"), F.coalesce("target", F.lit(0.0))
     shares = stage(sizes.select("source", share.alias("share")), "shares")
-    rows = rows.join(bounded(shares), "source").select("doc_id", "text", "source", "share")
+    # Turns deal the rows of any layout evenly; the order by hash mixes what a task was dealt by each input task.
+    dealt = rows.join(bounded(shares), "source").repartition(-(-total // TASK_BYTES)).withColumn("salt", F.xxhash64("doc_id", "source", "text"))
+    rows = dealt.sortWithinPartitions("salt", "doc_id", "source").select("doc_id", "text", "source", "share")
 
     def run(batches):
         ids_of, task = cache(tokenizer), TaskContext.get().partitionId()
