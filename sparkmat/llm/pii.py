@@ -4,7 +4,8 @@ High-recall generators (``GENERATORS``; the base patterns are among them) propos
 their format and the characters around them, in one pass over the texts. Base candidates that pass their
 kind's check are always spans. Boosted trees of depth 2, one ensemble per kind, learn from all rows which
 formats and contexts go with checked spans: base spans are the positive examples, candidates that fail
-their check and meet no base span the negative ones; features are small integers, so what reaches the
+their check and meet no base span the negative ones (addresses are checked in plain form, so obfuscated
+and spaced ones are neither); features are small integers, so what reaches the
 driver is a count per distinct feature row. A third of the documents (by hash) calibrates the score
 (Platt) and picks the least threshold with ``precision``; candidates that no base span of their kind
 overlaps and that reach it are added. Without examples of both classes a kind adds nothing.
@@ -91,9 +92,19 @@ def _luhn(m: Column) -> Column:
     return F.coalesce(F.call_function("luhn_check", _digits(m)), F.lit(False))
 
 
+def _plain(m: Column) -> Column:
+    """An address without obfuscation: [at] and (dot) as signs, no blanks around '@' or on both sides of a dot."""
+    m = F.regexp_replace(F.regexp_replace(m, r"(?i) ?[\[(]at[\])] ?", "@"), r"(?i) ?[\[(]dot[\])] ?", ".")
+    return F.regexp_replace(F.regexp_replace(m, " ?@ ?", "@"), r" \. ", ".")
+
+
+def _address(m: Column) -> Column:
+    return F.regexp_like(_plain(m), F.lit(rf"^{_RUN}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$"))
+
+
 def checked(kind: str, m: Column) -> Column:
     n = F.length(_digits(m))
-    return {"email": F.regexp_like(m, F.lit(r"@[A-Za-z0-9-]+\.")), "ip": F.regexp_like(m, F.lit(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")), "card": n.between(16, 19) & _luhn(m), "phone": n.between(8, 15)}[kind]
+    return {"email": _address(m), "ip": F.regexp_like(m, F.lit(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")), "card": n.between(16, 19) & _luhn(m), "phone": n.between(8, 15)}[kind]
 
 
 def of_kind(c: Column, kind: str, base: bool | None = None) -> Column:
@@ -107,7 +118,7 @@ def _char_class(c: Column) -> Column:
 
 def features(kind: str, x: Column) -> dict[str, Column]:
     """Small integers of a candidate's format and context."""
-    m = x["m"]
+    m = _plain(x["m"]) if kind == "email" else x["m"]
     return {
         "digits": F.least(F.length(_digits(m)), F.lit(20)),
         "luhn": _luhn(m).cast("int"),
@@ -118,7 +129,7 @@ def features(kind: str, x: Column) -> dict[str, Column]:
         "before": _char_class(F.right(x["l"], F.lit(1))),
         "after": _char_class(F.left(x["r"], F.lit(1))),
         "hint": F.regexp_like(x["l"], F.lit(_HINT[kind])).cast("int"),
-        "mark": F.when(F.regexp_like(m, F.lit(r"@[A-Za-z0-9-]+\.")), 2).when(F.contains(m, F.lit("@")), 1).when(F.startswith(m, F.lit("+")), 3).otherwise(0),
+        "mark": F.when(_address(m), 2).when(F.contains(m, F.lit("@")), 1).when(F.startswith(m, F.lit("+")), 3).otherwise(0),
     }
 
 
