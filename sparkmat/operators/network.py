@@ -158,18 +158,20 @@ def local_pagerank(g: DataFrame, labels: DataFrame, alpha: float = 0.9, rounds:
     return x.join(top, "label").groupBy("node").agg(F.max(F.col("value") / F.col("top")).alias("value"))
 
 
-def coreness(g: DataFrame, rounds: int = 200) -> DataFrame:
+def coreness(g: DataFrame) -> DataFrame:
     """k-shell number of every node, by rounds of h-indices of the neighbours' numbers until nothing changes.
 
     Loops count for nothing, edges count once whatever their weight. The h-index rounds need no peeling order:
-    a few dozen jobs settle graphs whose peeling would take one job a shell.
+    a few dozen jobs settle graphs whose peeling would take one job a shell; a chain takes a round for every two nodes.
     """
     e = cut(g.where("src <> dst").select("src", "dst").union(g.where("src <> dst").select("dst", "src")).distinct())
     x = e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("core"))
     total = None
-    for _ in range(rounds):
+    while True:
         rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("core")))
-        x = cut(e.join(x, e["dst"] == x["node"]).select("src", "core").withColumn("r", rank).groupBy(F.col("src").alias("node")).agg(F.max(F.least("r", "core")).cast("long").alias("core")))
+        old, x = x, cut(e.join(x, e["dst"] == x["node"]).select("src", "core").withColumn("r", rank).groupBy(F.col("src").alias("node")).agg(F.max(F.least("r", "core")).cast("long").alias("core")))
+        if total is not None:
+            drop(old)
         now = x.agg(F.sum("core")).first()[0]
         if now == total:
             break
@@ -208,18 +210,19 @@ def modularity(g: DataFrame, labels: DataFrame, resolution: float = 1.0) -> Data
     return deg.agg(F.sum(F.col("k") * F.col("k")).alias("kk")).crossJoin(F.broadcast(inner)).crossJoin(F.broadcast(total)).select((F.col("inner") / F.col("m2") - resolution * F.col("kk") / F.col("m2") / F.col("m2")).alias("modularity"))
 
 
-def cluster(g: DataFrame, resolution: float = 1.0, objective: str = "modularity", levels: int = 4, rounds: int = 12, seed: int = 0) -> DataFrame:
+def cluster(g: DataFrame, resolution: float = 1.0, objective: str = "modularity", rounds: int = 1000, seed: int = 0) -> DataFrame:
     """(node, label): communities of a symmetric graph by rounds of gainful moves, then of the contracted graph.
 
     In a round half the nodes, by a seeded hash, move to the neighbouring community of largest gain at once;
-    a level ends when none moves, the whole when a level merges nothing. Labels are the smallest node inside.
+    a level ends when none moves, the whole when a level merges nothing. Labels are the smallest node inside. Nodes that move at once can undo each
+    other, so an end is not proven: a level that still moves after ``rounds`` is an error.
     """
     if objective not in ("modularity", "CPM"):
         raise ValueError(f"unknown objective {objective!r}")
     at = cut(nodes(g).select("node", F.col("node").alias("label")))
     e, size = cut(g.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))), cut(nodes(g).select("node", F.lit(1.0).alias("size")))
     total = e.agg(F.sum("weight")).first()[0] or 1.0
-    for level in range(levels):
+    while True:
         if objective == "CPM":
             own = size.withColumnRenamed("size", "d")
             scale = 1.0
@@ -244,6 +247,8 @@ def cluster(g: DataFrame, resolution: float = 1.0, objective: str = "modularity"
             x = y.drop("moved")
             if quiet == 2:
                 break
+        else:
+            raise RuntimeError(f"communities still move after {rounds} rounds")
         names = x.withColumn("to", F.min("node").over(Window.partitionBy("label"))).select("node", "to")
         at = cut(at.join(names, at["label"] == names["node"]).select(at["node"], F.col("to").alias("label")))
         if not names.where("node <> to").limit(1).count():
