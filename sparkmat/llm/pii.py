@@ -212,9 +212,14 @@ def _base(c: Column, kind: str) -> Column:
     return F.filter(of_kind(c, kind, True), lambda x: checked(kind, x["m"]))
 
 
-def search(docs: DataFrame) -> DataFrame:
-    """doc_id and its candidates, written once: nothing after it reads a text."""
-    return stage(texts(docs).select("doc_id", candidates(F.coalesce("text", F.lit(""))).alias("c")), "candidates")
+def _digest_of(text: Column) -> Column:
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256)
+
+
+def search(docs: DataFrame, digests: bool = False) -> DataFrame:
+    """doc_id, its candidates and on request the text's digest, written once: nothing after it reads a text."""
+    more = [_digest_of(F.col("text")).alias("digest")] if digests else []
+    return stage(texts(docs).select("doc_id", *more, candidates(F.coalesce("text", F.lit(""))).alias("c")), "candidates")
 
 
 def learn(found: DataFrame, precision: float = 0.99) -> dict[str, Boosted]:
@@ -245,14 +250,15 @@ def spans(found: DataFrame, models: dict[str, Boosted]) -> DataFrame:
     """doc_id, base and spans: arrays of (k, s, e, m) in order of kind, start and end."""
     pack = lambda i, a: F.transform(a, lambda x: F.struct(F.lit(i).alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m")))
     base = F.concat(*(pack(i, _base(F.col("c"), k)) for i, k in enumerate(KINDS)))
-    rows = found.select("doc_id", "c", base.alias("base"))
+    keys = [c for c in found.columns if c != "c"]
+    rows = found.select(*keys, "c", base.alias("base"))
     more = []
     for i, kind in enumerate(KINDS):
         model = models[kind]
         if model.trees and model.threshold <= 1:
             more.append(pack(i, F.filter(of_kind(F.col("c"), kind, False), _accepted(kind, i, model))))
     every = F.array_sort(F.array_distinct(F.concat("base", *more)))
-    return rows.select("doc_id", "base", F.when(F.size("c") == 0, F.col("base")).otherwise(every).alias("spans"))
+    return rows.select(*keys, "base", F.when(F.size("c") == 0, F.col("base")).otherwise(every).alias("spans"))
 
 
 def digest(a: Column) -> Column:
@@ -269,9 +275,12 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span's characters in ``text`` replaced by its kind in brackets; overlapping spans become one."""
-    found = search(docs)
-    some = stage(spans(found, learn(found)).where(F.size("spans") > 0).select(F.col("doc_id").alias("_doc"), "spans").dropDuplicates(["_doc"]), "redactions")
+    """``docs`` with every span's characters in ``text`` replaced by its kind in brackets; overlapping spans become one.
+
+    Rows find their spans by doc_id and the text's digest, so null and repeated doc_ids get those of their own text.
+    """
+    found = search(docs, digests=True)
+    some = stage(spans(found, learn(found)).where(F.size("spans") > 0).select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), "spans").dropDuplicates(["_doc", "_digest"]), "redactions")
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("o"))
 
@@ -282,5 +291,5 @@ def redact(docs: DataFrame) -> DataFrame:
 
     order = F.array_sort("spans", lambda a, b: F.when(a["s"] != b["s"], F.signum(a["s"] - b["s"])).otherwise(F.signum(b["e"] - a["e"])).cast("int"))
     new = F.aggregate(order, start, step, lambda acc: F.concat(F.array_join(acc["o"], ""), F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    joined = docs.join(some, docs["doc_id"] == some["_doc"], "left")
+    joined = docs.join(some, docs["doc_id"].eqNullSafe(some["_doc"]) & (_digest_of(docs["text"]) == some["_digest"]), "left")
     return joined.select(*(F.when(F.col("spans").isNotNull(), new).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns))
