@@ -8,6 +8,7 @@ code point spans. A span's 64-bit hash depends only on its bytes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text handled at once; bounds the temporary arrays of a worker (about 40 bytes each).
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 _SEGMENT = 1 << 18
 
 SPACE = np.zeros(256, bool)
@@ -28,6 +29,21 @@ _BYTE = _rng.integers(1, 2**64, 256, dtype=U64)
 _R = U64(0x9E3779B97F4A7C15)
 _R_INV = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _powers: dict[str, np.ndarray] = {}
+#: What operators keep in a worker from task to task (vocabularies, spans, lattices), by a name each.
+KEPT: dict[str, dict] = {}
+
+
+def only(*names: str) -> None:
+    """Free what this worker keeps under other names: workers are used again by other operators, and memory is not given back by itself."""
+    others = [kept for name, kept in KEPT.items() if name not in names and kept]
+    for kept in others:
+        kept.clear()
+    if others:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
 
 
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:

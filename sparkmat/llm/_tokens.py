@@ -17,12 +17,12 @@ import base64
 
 import numpy as np
 
-from sparkmat.llm._text import SPACE, span_hash
+from sparkmat.llm._text import KEPT, SPACE, only, span_hash
 
 CACHE_BITS = 20
-POOL_IDS = 12_000_000
+POOL_IDS = 6_000_000
 SPECIAL = "<|endoftext|>"
-_loaded: dict[tuple, object] = {}
+_loaded: dict[str, object] = KEPT.setdefault("spans", {})
 
 
 def vocabulary_path(name: str) -> str:
@@ -121,7 +121,7 @@ class SpanCache:
     def clear(self) -> None:
         n = 1 << CACHE_BITS
         self.keys = ~(np.arange(n, dtype=np.uint64) << np.uint64(64 - CACHE_BITS))  # none belongs to its slot
-        self.at, self.length = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.at, self.length = np.zeros(n, np.int32), np.zeros(n, np.int32)
         self.pool, self.used = np.zeros(1 << 20, np.uint16), 0
 
     def lookup(self, data, starts, ends, first) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +130,7 @@ class SpanCache:
             self.clear()
         h = span_hash(data, starts, ends) ^ (first.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
         slot = (h >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-        at, length = self.at[slot], self.length[slot]
+        at, length = self.at[slot].astype(np.int64), self.length[slot].astype(np.int64)
         miss = np.flatnonzero(self.keys[slot] != h)
         if len(miss):
             _, pick, back = np.unique(h[miss], return_index=True, return_inverse=True)
@@ -165,8 +165,10 @@ class SpanCache:
 
 
 def cache(name: str) -> SpanCache:
-    """This worker's cache for a vocabulary file (a name of the public files or a path)."""
+    """This worker's cache for a vocabulary file (a name of the public files or a path); it keeps one at a time."""
+    only("spans")
     if name not in _loaded:
+        _loaded.clear()
         path = name if "/" in name else vocabulary_path(name)
         _loaded[name] = SpanCache((Pieces if path.endswith(".model") else BytePairs)(path))
     return _loaded[name]

@@ -1,16 +1,22 @@
 """Approximate nearest neighbours by robust-pruned directed graphs, one per shard.
 
 Vectors with equal components collapse first; a class keeps its ``k`` + 1 smallest ids, which is all that
-ties to smaller ids can ask for. Classes are dealt to shards by hash. A shard's graph is built in batches: greedy searches in
-the graph so far propose neighbours, relaxed distance pruning (factor ``alpha``) keeps diverse ones, and
-backward edges are pruned alike. Queries beam-search every shard, and each task keeps its best, so
-``shards`` x ``k`` candidates per query meet at the end. Largest inner product becomes least Euclidean
-distance by one more component, sqrt(largest squared norm - squared norm); scores are exact, in double
-precision, on the original vectors.
-
-Vectors that are null, zero, or hold null or non-finite components take no part, nor those of another
-length than most (the smaller on a tie). Ties go to the smaller vec_id; rows that repeat a vec_id and its
-vector are one row. Extra columns are ignored.
+ties to smaller ids can ask for. Classes are dealt to shards by their length, by the band of their norm
+(``BAND`` octaves, so no vector of a shard vanishes beside another) and by hash. A shard's graph is built in
+batches: greedy searches in the graph so far propose neighbours, relaxed distance pruning (factor ``alpha``)
+keeps diverse ones, and backward edges are pruned alike. Queries beam-search every shard of their length, and
+each task keeps its best, so ``shards`` x ``k`` candidates per query meet at the end. For the graph, largest
+inner product becomes least Euclidean distance by one more component, sqrt(largest squared norm - squared
+norm), after an exact scaling by a power of two; scores are exact, in double precision, on the original vectors.
+
+A shard holds ``SHARD_BYTES`` of vectors and meets queries in blocks of as many bytes: what is sent is one
+shard and one block for each shard x block searches.
+
+A product beyond the range of doubles is infinite and ties with its like.
+Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor rows without a
+vec_id. Vectors of different lengths have no inner product and never meet. Ties go to the smaller vec_id. Rows
+that repeat a vec_id and its vector are one row; a query whose vec_id has several vectors asks with the least of
+them (by component), a candidate with several scores its best. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkmat.llm._spark import stage
+from sparkmat.llm._spark import bounded, stage, unstage
 
 DEGREE, BEAM, BUILD_BEAM, ALPHA = 32, 128, 64, 1.2
-#: Vectors per shard aimed at, and at most this many bytes of them in a task.
-SHARD_ROWS = 16_384
+#: Bytes of vectors (doubles) aimed at in a shard and in a block of queries.
+SHARD_BYTES = 16 << 20
+#: Octaves of the norms in one shard.
+BAND = 4
 _SCHEMA = "query_id long, vec_id long, score double"
 
 
@@ -148,13 +156,15 @@ class Graph:
 
 
 def usable(table: DataFrame) -> DataFrame:
-    """vec_id, v (array of doubles) of the vectors that take part."""
+    """vec_id, v (array of doubles) and band (of the norm) of the vectors that take part."""
     v = F.col("embedding").cast("array<double>")
     rows = table.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = rows.where(F.col("v").isNotNull() & (F.size("v") > 0)).where(finite & F.exists("v", lambda x: x != 0))
-    length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == F.lit(length[0] if length else 0))
+    # By the largest component first: squares of large or small ones leave the range of doubles.
+    rows = rows.withColumn("peak", F.array_max(F.transform("v", F.abs)))
+    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.col("peak")) * (x / F.col("peak")))
+    return rows.select("vec_id", "v", F.floor((F.log2("peak") + F.log2(squares) / 2) / BAND).cast("int").alias("band"))
 
 
 def classes(rows: DataFrame, k: int) -> DataFrame:
@@ -167,7 +177,7 @@ def classes(rows: DataFrame, k: int) -> DataFrame:
     few = hashed.dropDuplicates(["h1", "h2", "vec_id"]).withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + 1)
     lists = few.groupBy("h1", "h2").agg(F.slice(F.sort_array(F.collect_list("vec_id")), 1, k + 1).alias("members"))
     head = hashed.join(lists.select("h1", "h2", "members", F.col("members")[0].alias("vec_id")), ["h1", "h2", "vec_id"])
-    return head.dropDuplicates(["h1", "h2"]).select("members", "v", "h1")
+    return head.dropDuplicates(["h1", "h2"]).select("members", "v", "h1", "band", F.size("v").alias("dim"))
 
 
 def _matrix(column) -> np.ndarray:
@@ -175,63 +185,89 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def search(table: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` nearest found of each query row (its own vec_id excluded)."""
-    rows = stage(usable(table), "vectors")
-    index = stage(classes(rows, k), "classes")
-    n = index.count()
-    shards = max(1, -(-n // shard_rows))
-    largest = index.select(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0] or 0.0
-    asked = stage(usable(queries).dropDuplicates(["vec_id"]), "queries")
-    # Every shard meets every query: queries go along in blocks, as (shard, block) groups.
-    block = 4096
-    blocks = max(1, -(-asked.count() // block))
-    dealt = index.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
-
-    def augmented(v: np.ndarray) -> np.ndarray:
-        rest = np.sqrt(np.maximum(largest - np.einsum("ij,ij->i", v, v), 0))
-        return np.concatenate([v, rest[:, None]], 1).astype(np.float32)
-
-    def build(key, part):
-        part = part.combine_chunks()
-        v = _matrix(part.column("v").combine_chunks())
-        order = np.argsort(np.array([m[0] for m in part.column("members").to_pylist()]))
-        g = Graph(augmented(v[order]))
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "start": pa.array([g.start], pa.int32()), "v": pa.array([np.ascontiguousarray(v[order]).tobytes()]), "edges": pa.array([g.edges.tobytes()]), "members": pa.array([[m for i in order for m in part.column("members")[int(i)].as_py()]], pa.list_(pa.int64())), "sizes": pa.array([[len(part.column("members")[int(i)]) for i in order]], pa.list_(pa.int32()))})
-
-    graphs = stage(dealt.select("shard", "members", "v").groupBy("shard").applyInArrow(build, "shard int, start int, v binary, edges binary, members array<long>, sizes array<int>"), "graphs")
-    grouped = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    pairs = grouped.select("vec_id", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-
-    def look(key, left, right):
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        one = {c: right.column(c)[0] for c in right.column_names}
-        edges = np.frombuffer(one["edges"].as_buffer(), np.int32).reshape(-1, DEGREE)
-        v = np.frombuffer(one["v"].as_buffer(), np.float64).reshape(len(edges), -1)
-        members, sizes = np.array(one["members"].as_py(), np.int64), np.array(one["sizes"].as_py(), np.int64)
-        begin = np.cumsum(sizes) - sizes
-        g = Graph.__new__(Graph)
-        g.x, g.edges, g.degree, g.start = augmented(v), edges, DEGREE, one["start"].as_py()
-        g.sq = np.einsum("ij,ij->i", g.x, g.x)
-        ids, q = left.column("vec_id").to_numpy(), _matrix(left.column("v").combine_chunks())
+def _scaled(v: np.ndarray, band: int) -> np.ndarray:
+    """Norms under 1, exactly (but for components that vanish beside the largest)."""
+    return np.ldexp(v, -BAND * (band + 1))
+
+
+def _augmented(v: np.ndarray) -> np.ndarray:
+    norm = np.einsum("ij,ij->i", v, v)
+    return np.concatenate([v, np.sqrt(np.maximum(norm.max(initial=0.0) - norm, 0))[:, None]], 1).astype(np.float32)
+
+
+def _build(key, part):
+    part = part.combine_chunks()
+    members = part.column("members").to_pylist()
+    order = np.argsort(np.array([m[0] for m in members]))
+    v = _matrix(part.column("v").combine_chunks())[order]
+    g = Graph(_augmented(_scaled(v, key[1].as_py())))
+    ids = [members[i] for i in order]
+    return pa.table({
+        **{name: pa.array([k.as_py()], pa.int32()) for name, k in zip(("dim", "band", "shard"), key)},
+        "start": pa.array([g.start], pa.int32()),
+        "v": pa.array([np.ascontiguousarray(v).tobytes()]),
+        "edges": pa.array([g.edges.tobytes()]),
+        "members": pa.array([[m for own in ids for m in own]], pa.list_(pa.int64())),
+        "sizes": pa.array([list(map(len, ids))], pa.list_(pa.int32())),
+    })
+
+
+def _look(k: int, beam: int):
+    def run(key, left, right):
         out: list[list] = [[], [], []]
-        for i in range(0, len(ids), 512):
-            qs = q[i : i + 512]
-            found, _ = g.search(np.concatenate([qs, np.zeros((len(qs), 1))], 1).astype(np.float32), max(beam, k + 1))
-            for own, x, f in zip(ids[i : i + 512].tolist(), qs, found):
-                f = f[f >= 0]
-                score = np.array([float(np.dot(x, v[j])) for j in f])
-                pick = np.repeat(np.arange(len(f)), sizes[f])
-                name = np.concatenate([members[begin[j] : begin[j] + sizes[j]] for j in f])
-                s = score[pick]
-                s, name = s[name != own], name[name != own]
-                best = np.lexsort((name, -s))[:k]
-                out[0] += [own] * len(best)
-                out[1] += name[best].tolist()
-                out[2] += s[best].tolist()
+        if left.num_rows and right.num_rows:
+            one = {c: right.column(c)[0] for c in right.column_names}
+            edges = np.frombuffer(one["edges"].as_buffer(), np.int32).reshape(-1, DEGREE)
+            v = np.frombuffer(one["v"].as_buffer(), np.float64).reshape(len(edges), -1)
+            members, sizes = np.array(one["members"].as_py(), np.int64), np.array(one["sizes"].as_py(), np.int64)
+            begin = np.cumsum(sizes) - sizes
+            g = Graph.__new__(Graph)
+            g.x, g.edges, g.degree, g.start = _scaled(v, one["band"].as_py()).astype(np.float32), edges, DEGREE, one["start"].as_py()
+            g.sq = np.zeros(len(v), np.float32)  # augmented vectors have one norm, so inner products rank alone
+            left = left.combine_chunks()
+            ids, q, bands = left.column("vec_id").to_numpy(), _matrix(left.column("v").combine_chunks()), left.column("query_band").to_numpy()
+            for i in range(0, len(ids), 512):
+                qs = q[i : i + 512]
+                small = np.concatenate([_scaled(x[None], int(n)) for x, n in zip(qs, bands[i : i + 512])]).astype(np.float32)
+                found, _ = g.search(small, max(beam, k + 1))
+                for own, x, f in zip(ids[i : i + 512].tolist(), qs, found):
+                    f = f[f >= 0]
+                    score = np.array([float(np.dot(x, v[j])) for j in f])
+                    s = score[np.repeat(np.arange(len(f)), sizes[f])]
+                    name = np.concatenate([members[begin[j] : begin[j] + sizes[j]] for j in f])
+                    s, name = s[name != own], name[name != own]
+                    best = np.lexsort((name, -s))
+                    best = best[np.sort(np.unique(name[best], return_index=True)[1])][:k]
+                    out[0] += [own] * len(best)
+                    out[1] += name[best].tolist()
+                    out[2] += s[best].tolist()
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
-    near = pairs.groupBy("shard", "block").cogroup(graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("shard", "block")).applyInArrow(look, _SCHEMA)
+    return run
+
+
+def search(table: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM, shard_rows: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the ``k`` nearest found of each query row (its own vec_id excluded).
+
+    ``shard_rows``, where given, bounds shards and blocks in place of ``SHARD_BYTES``.
+    """
+    rows = stage(usable(table), "vectors")
+    index = stage(classes(rows, k), "classes")
+    unstage(rows)
+    parts = lambda n: F.ceil(n / shard_rows if shard_rows else n * F.col("dim") * 8 / SHARD_BYTES).cast("int")
+    plan = stage(index.groupBy("dim", "band").agg(F.count(F.lit(1)).alias("n")).select("dim", "band", parts(F.col("n")).alias("shards")), "shards")
+    dealt = index.join(bounded(plan), ["dim", "band"]).withColumn("shard", F.pmod("h1", "shards").cast("int"))
+    graphs = stage(dealt.select("dim", "band", "shard", "members", "v").groupBy("dim", "band", "shard").applyInArrow(_build, "dim int, band int, shard int, start int, v binary, edges binary, members array<long>, sizes array<int>"), "graphs")
+    least = usable(queries).groupBy("vec_id").agg(F.min(F.struct("v", "band")).alias("q"))
+    asked = stage(least.select("vec_id", "q.v", F.col("q.band").alias("query_band"), F.size("q.v").alias("dim")), "queries")
+    unstage(index)
+    blocks = stage(asked.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).select("dim", parts(F.col("n")).alias("blocks")), "blocks")
+    meet = plan.join(bounded(blocks), "dim")
+    block = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
+    pairs = asked.join(bounded(stage(meet, "meet")), "dim").select("vec_id", "v", "query_band", "dim", "band", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    shards = graphs.join(bounded(blocks), "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    by = "dim", "band", "shard", "block"
+    near = pairs.groupBy(*by).cogroup(shards.groupBy(*by)).applyInArrow(_look(k, beam), _SCHEMA)
+    best = near.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

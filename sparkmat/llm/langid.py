@@ -1,14 +1,19 @@
 """Language identification by averaged hashed subword embeddings.
 
 A text's vector is the mean of the embeddings of its hashed character n-grams (1 to 4 letters, words
-padded with blanks, letters lower-cased); a linear softmax over it is trained with stochastic gradient
-descent in numpy. Probabilities are tempered on a held-back part of the training rows, and ``rejected``
-marks predictions under the threshold at which that part's accepted predictions reach ``precision``.
-
-Training reads a bounded sample: for each language and each of ``PER_LANGUAGE`` hash buckets the row of
-least hash. Prediction reads every whole text; embeddings and weights are folded into one table of
-``BUCKETS`` x languages. Null texts and texts without a letter give ``und`` with score 0; empty training
-data gives ``und`` everywhere. Ties go to the language that is first by name. Extra columns are ignored.
+padded with blanks, the text's first and last too, letters lower-cased); a linear softmax over it is trained
+with stochastic gradient descent in numpy. Probabilities are tempered on a held-back part of the training
+rows, and ``rejected`` marks predictions under the threshold at which that part's accepted predictions reach
+``precision``. A text's score depends on that text alone, never on its neighbours in a partition.
+
+Training reads a bounded sample: for each language and each of ``per_language`` hash buckets the row of
+least hash, ``PASSAGES`` passages of ``PASSAGE`` letters of it at most (cut before they reach the driver), and
+the ``most_languages`` most frequent languages. Prediction reads every whole text; embeddings and weights are
+folded into one table of ``BUCKETS`` x languages.
+
+Null texts and texts without a letter give ``und`` with score 0; empty training data gives ``und`` everywhere;
+invalid UTF-8 reads as replacement characters. Ties go to the language that is first by name. Every row is
+predicted, repeated and null doc_ids too. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +31,8 @@ from sparkmat.llm._spark import texts
 BUCKETS, DIMENSIONS, EPOCHS, RATE = 1 << 16, 16, 6, 0.5
 #: Training rows per language at most, and languages at most (the most frequent; others are not learned).
 PER_LANGUAGE, MOST_LANGUAGES = 512, 512
-#: Chosen rows are cut in passages of about this many letters, so long texts do not outweigh short ones.
-PASSAGE = 400
+#: Letters of a training passage, and evenly spread passages of a training row, so long texts do not outweigh short ones.
+PASSAGE, PASSAGES = 400, 8
 UND = "und"
 _letters: np.ndarray | None = None
 
@@ -54,53 +59,59 @@ def letter_table() -> np.ndarray:
     return _letters
 
 
+def _points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of a block and each text's offsets in them; invalid bytes become U+FFFD."""
+    try:
+        text = data.tobytes().decode("utf-8")
+        total = np.zeros(len(data) + 1, np.int64)
+        np.cumsum((data & 0xC0) != 0x80, out=total[1:])
+        edges = total[offsets]
+    except UnicodeDecodeError:
+        parts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:])]
+        text, edges = "".join(parts), np.cumsum([0, *map(len, parts)])
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32), edges
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of the n-grams of all orders (one row each), validity, and each text's offsets in letters."""
-    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    total = np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data & 0xC0) != 0x80, out=total[1:])
-    edges = total[offsets]
-    low = letter_table()[points]
-    padded = np.zeros(len(low) + 4, np.uint32)
-    padded[: len(low)] = low
-    n = len(low)
+    """Buckets of the n-grams of all orders (one row each), validity, and each text's offsets in them.
+
+    A blank stands before every text and after the last, so each text is padded at both ends; as no n-gram
+    has a blank inside, none crosses texts.
+    """
+    points, edges = _points(data, offsets)
+    edges = edges + np.arange(len(edges))
+    n = int(edges[-1])
+    padded = np.zeros(n + 4, np.uint32)
+    inner = np.ones(n, bool)
+    inner[edges[:-1]] = False
+    padded[:n][inner] = letter_table()[points]
     buckets = np.zeros((4, n), np.uint32)
     valid = np.zeros((4, n), bool)
     h = np.zeros(n, np.uint32)
     alive = np.ones(n, bool)
     for k in range(4):
         c = padded[k : k + n]
-        if k:  # a blank may begin or end an n-gram, not stand inside
-            alive = alive & ((padded[k - 1 : k - 1 + n] > 0) | (k == 1))
+        if k > 1:  # a blank may begin or end an n-gram, not stand inside
+            alive = alive & (padded[k - 1 : k - 1 + n] > 0)
         h = (h + c + np.uint32(1)) * np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
         buckets[k] = (h * np.uint32(0x85EBCA6B) + np.uint32(k * 0x27D4EB2F)) >> np.uint32(16)
         valid[k] = alive & ((c > 0) if k == 0 else (c > 0) | (padded[k - 1 : k - 1 + n] > 0))
-    for k in range(1, 4):  # not across texts
-        for j in range(1, k + 1):
-            at = edges[1:-1] - j
-            valid[k, at[at >= 0]] = False
     return buckets, valid, edges
 
 
 def logits(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each text its class scores and whether it has a letter."""
     n, classes = len(offsets) - 1, len(model.languages)
-    if not len(data):
-        return np.tile(model.bias, (n, 1)), np.zeros(n, bool)
     buckets, valid, edges = features(data, offsets)
-    points = buckets.shape[1]
-    sums, count = np.zeros((n, classes)), np.zeros(n)
-    filled = edges[1:] > edges[:-1]
-    at = edges[:-1][filled]
+    sums, count, at = np.zeros((n, classes)), np.zeros(n), edges[:-1]
     for k in range(4):
-        count[filled] += np.add.reduceat(valid[k].astype(np.int32), at)
+        count += np.add.reduceat(valid[k].astype(np.int32), at)
         for c in range(classes):
             column = model.table[c].take(buckets[k])
             column *= valid[k]
-            sums[filled, c] += np.add.reduceat(column, at, dtype=np.float64)
-    has = np.zeros(n, bool)
-    has[filled] = np.add.reduceat(valid[0].astype(np.int32), at) > 0
+            sums[:, c] += np.add.reduceat(column, at, dtype=np.float64)
+    has = np.add.reduceat(valid[0].astype(np.int32), at) > 0
     return sums / np.maximum(count, 1)[:, None] + model.bias, has
 
 
@@ -109,31 +120,28 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """At most ``per_language`` (text, lang) rows of each language; by hash, so the same for any partitioning."""
+def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> list[tuple[list[str], str]]:
+    """(passages, lang) of at most ``per_language`` rows of each language; by hash, so the same for any partitioning."""
     h = F.xxhash64(F.col("doc_id").cast("string"))
     named = docs.where("lang is not null and text is not null")
-    top = [r.lang for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
+    top = [r.lang for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
     picked = named.where(F.col("lang").isin(top)).groupBy("lang", F.pmod(h, F.lit(per_language)).alias("b")).agg(F.min(h).alias("h")).select("lang", "h")
-    rows = named.select("text", "lang", h.alias("h")).join(F.broadcast(picked), ["lang", "h"], "left_semi").select("h", "lang", "text").orderBy("h", "lang", "text").limit(per_language * max(1, len(top)))
-    return [(r.text, r.lang) for r in rows.collect()]
-
-
-def passages(text: str) -> list[str]:
-    """The whole text in passages of about ``PASSAGE`` letters, at most 8 evenly spread ones of a long text."""
-    parts = [text[i : i + PASSAGE] for i in range(0, len(text), PASSAGE)]
-    return parts if len(parts) <= 8 else [parts[i * len(parts) // 8] for i in range(8)]
+    parts = F.greatest(F.ceil(F.length("text") / PASSAGE), F.lit(1)).cast("int")
+    chosen = F.transform(F.sequence(F.lit(0), F.least(parts, F.lit(PASSAGES)) - 1), lambda i: F.when(parts <= PASSAGES, i).otherwise(F.floor(i * parts / PASSAGES).cast("int")))
+    cut = F.transform(chosen, lambda i: F.substring("text", i * PASSAGE + 1, F.lit(PASSAGE)))
+    rows = named.select("lang", h.alias("h"), cut.alias("parts")).join(F.broadcast(picked), ["lang", "h"], "left_semi")
+    return [(list(r.parts), r.lang) for r in rows.groupBy("lang", "h").agg(F.min("parts").alias("parts")).orderBy("h", "lang").collect()]
 
 
-def train(rows: list[tuple[str, str]], precision: float = 0.995, seed: int = 7) -> Model:
+def train(rows: list[tuple[list[str], str]], precision: float = 0.995, seed: int = 7) -> Model:
     languages = sorted({lang for _, lang in rows})
     classes = len(languages)
     rng = np.random.default_rng(seed)
     if not classes:
         return Model([UND], np.zeros((1, BUCKETS), np.float32), np.zeros(1), 1.0, 1.0)
     examples, labels, held = [], [], []
-    for i, (text, lang) in enumerate(rows):
-        for part in passages(text):
+    for i, (parts, lang) in enumerate(rows):
+        for part in parts:
             buckets, valid, _ = features(*X.column_buffers(pa.array([part])))
             bag = buckets[valid]
             if len(bag):

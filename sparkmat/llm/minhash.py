@@ -7,18 +7,25 @@ chunk, so each chunk is indexed WIDTH times, with one symbol left out each time:
 signature distance shares a key. (At similarity 0.85 a pair misses all chunks with probability 5e-7.)
 
 1. Equal sets collapse into a class (one representative, the smallest doc_id).
-2. Under each key every member meets the smallest one; the distinct pairs are confirmed on the full sets,
-   linked classes merge (connected components). This is linear in the members, whatever a group's size.
+2. Under each key every member meets the smallest one; the distinct pairs are held against the signature distance
+   (``most_apart``), then confirmed on the full sets, and linked classes merge (connected components). This is
+   linear in the members, whatever a group's size.
 3. Members of keys that still span several components are searched for links between those components:
-   exact bounds on shared rare shingles leave few pairs, which are confirmed as in 2.
+   exact bounds on shared rare shingles leave few pairs, which go through signatures and sets as in 2.
 
+The distance allowed is wider than the one the index guarantees: a link fails it with probability ``MISS`` at most,
+far less than the index misses, so it spares confirmations and loses no link that the index finds in practice.
 So no link between different texts is lost to a cap, and no group is expanded into its pairs of copies.
 Null and empty texts have an empty set, link with nothing and are kept; repeated rows of one doc_id count
-as one document. Extra columns are ignored.
+as one document (if their sets differ, each row has its own n_shingles, and the set of least digest links). Rows without a doc_id
+cannot be named by a component: they link with nothing, their component_id is null and they are kept. An empty table
+gives no row. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +39,10 @@ from sparkmat.llm._spark import bounded, stage, texts, unstage
 SHINGLE = 5
 CHUNKS, WIDTH = 8, 5
 SYMBOLS = CHUNKS * WIDTH
+#: Share of links whose signatures may be further apart than ``most_apart``.
+MISS = 1e-9
+#: Rows of a shingle that one task pairs with the rows of other components, at about.
+SPLIT = 1000
 _rng = np.random.Generator(np.random.PCG64(5))
 _XOR = _rng.integers(0, 2**64, SYMBOLS, dtype=np.uint64)
 _MUL = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -97,6 +108,7 @@ def profile(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, d1, d2 (digests of the set), signature."""
 
     def run(batches):
+        X.only()
         for batch in batches:
             parts = []
             for _, _, data, offsets in X.blocks(batch.column(1)):
@@ -144,18 +156,21 @@ def keyed(classes: DataFrame, *more: str) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and its full shingle set (sorted 64-bit hashes) for the distinct ``id`` values."""
+    """id and its full shingle set (sorted 64-bit hashes) for the distinct ``id`` values; of several sets that of least digest."""
 
     def run(batches):
         for batch in batches:
-            blobs = []
+            blobs, sums = [], [[np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]]
             for _, _, data, offsets in X.blocks(batch.column(1)):
                 values, at = shingle_sets(data, offsets)
                 blobs += [np.sort(values[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["id", "shingles"])
+                for s, d in zip(sums, digests(values, at)):
+                    s.append(d)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(X.signed(np.concatenate(s))) for s in sums), pa.array(blobs, pa.binary())], ["id", "d1", "d2", "shingles"])
 
     ids = ids.select(F.col("id").alias("doc_id"))
-    return texts(docs).join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
+    found = texts(docs).join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "id long, d1 long, d2 long, shingles binary")
+    return found.where(F.octet_length("shingles") > 0).groupBy("id").agg(F.min(F.struct("d1", "d2", "shingles")).alias("s")).select("id", "s.shingles")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -178,6 +193,29 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, shared long, united long")
 
 
+def most_apart(percent: int) -> int:
+    """The signature distance that pairs of similarity ``percent`` exceed with probability ``MISS`` at most."""
+    p = 1 - percent / 100
+    over, d = 1.0, -1
+    while over > MISS and d < SYMBOLS:
+        d += 1
+        over -= math.comb(SYMBOLS, d) * p**d * (1 - p) ** (SYMBOLS - d)
+    return d
+
+
+def near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose signatures differ in ``most_apart`` symbols at most."""
+    limit = most_apart(percent)
+
+    def run(batches):
+        for batch in batches:
+            apart = (_symbols(batch.column(2)) != _symbols(batch.column(3))).sum(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(apart <= limit))
+
+    left, right = classes.select(F.col("rep").alias("a"), F.col("signature").alias("x")), classes.select(F.col("rep").alias("b"), F.col("signature").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def _tokens(sets: DataFrame) -> DataFrame:
     """id, n (size of the set), token: a row per shingle."""
 
@@ -220,22 +258,26 @@ def residual_pairs(members: DataFrame, comp: DataFrame, sets: DataFrame, percent
     prefix = some.join(alive, "id").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     prefix = stage(prefix.join(left, "id").select("token", "id", "n", "comp", "rank"), "prefix")
     unstage(some, left)
-    meet = prefix.groupBy("token").agg(F.min("comp").alias("main"), F.max("comp").alias("hi")).where("main < hi").select("token", "main")
-    apart = prefix.join(meet, "token").where("comp <> main").select("token", F.col("id").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), F.col("rank").alias("ar"))
+    parts = F.ceil(F.count(F.lit(1)) / SPLIT).cast("int")
+    meet = stage(prefix.groupBy("token").agg(F.min("comp").alias("main"), F.max("comp").alias("hi"), parts.alias("parts")).where("main < hi").select("token", "main", "parts"), "meet")
+    # The rows of a common shingle are dealt over parts; the few outside its main component go to each.
+    dealt = prefix.join(bounded(meet), "token").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    apart = dealt.where("comp <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("token", "part", F.col("id").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), F.col("rank").alias("ar"))
     # At the first shingle that a linked pair shares, enough must follow in both: (100 + percent) * overlap >= percent * (an + n).
     rest = F.least(F.col("an") - F.col("ar"), F.col("n") - F.col("rank")) + 1
     enough = rest * (100 + percent) >= (F.col("an") + F.col("n")) * percent
-    pairs = apart.join(prefix, "token").where("ac <> comp").where(enough)
+    pairs = apart.join(dealt, ["token", "part"]).where("ac <> comp").where(enough)
     return pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), prefix
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document; sets link at ``percent`` hundredths of their union or more."""
     found = stage(profile(docs), "profile")
-    some = found.where("n_shingles > 0")
+    rows = found.where("n_shingles > 0 and doc_id is not null")
+    some = rows.groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "n_shingles", "signature")).alias("s")).select("doc_id", "s.*")
     same = some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     classed = stage(some.join(same, ["d1", "d2", "n_shingles"]).select("doc_id", "rep", "signature"), "classes")
-    classes = classed.where("doc_id = rep").select("rep", "signature").dropDuplicates(["rep"])
+    classes = classed.where("doc_id = rep").select("rep", "signature")
     keys = keyed(classes)
     many = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("key", "pivot")
     members = stage(keys.join(many, "key"), "members")
@@ -243,16 +285,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     ids = stage(members.select(F.col("rep").alias("id")).distinct(), "ids")
     sets = stage(sets_of(docs, bounded(ids)), "sets")
     unstage(ids)
-    links = stage(_links(confirm(stars, sets), percent), "links")
+    links = stage(_links(confirm(near(stars, classes, percent), sets), percent), "links")
     comp = stage(components(links), "components")
     pairs, prefix = residual_pairs(members, comp, sets, percent)
-    more = stage(_links(confirm(pairs, sets), percent), "links")
+    more = stage(_links(confirm(near(pairs, classes, percent), sets), percent), "links")
     unstage(prefix, sets, comp)
     comp = stage(components(links.unionByName(more)), "components")
     unstage(links, more)
-    labelled = classed.select("doc_id", "rep").distinct().join(comp, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
+    labelled = classed.select("doc_id", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     out = found.select("doc_id", "n_shingles").join(labelled, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept"))
+    own = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:

@@ -14,7 +14,8 @@ and a task holds queues of sources with documents waiting only, so the number of
 
 Targets default to the sources' shares of the bytes of all rows, since every document is packed whole;
 other targets hold for as long as the sources last. Null and empty texts are the end id alone; a null
-source is the source ''. Repeated rows are packed each. Extra columns are ignored.
+source is the source ''. Repeated rows, and rows without a doc_id, are packed each; an empty table gives no piece.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -169,7 +170,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", size: int = SIZE
     def finish(key, table):
         rows = table.to_pylist()
         served = {r["source"]: r["served"] for r in rows if r["served"] is not None}
-        order = sorted((r for r in rows if r["ids"]), key=lambda r: (r["doc_id"], r["start"]))
+        order = sorted((r for r in rows if r["ids"]), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["doc_tokens"], r["start"]))
         shares = {r["source"]: r["share"] for r in order}
         packer = Packer(shares, size, least, 1 << 62 | key[0].as_py() << 32, served, sum(r["windows"] or 0 for r in rows))
         for r in order:

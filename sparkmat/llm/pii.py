@@ -1,17 +1,26 @@
-"""Personal data by candidate gradient boosting, in built-in Spark functions only.
+"""Personal data and secrets by candidate gradient boosting, in built-in Spark functions only.
 
 High-recall generators (``GENERATORS``; the base patterns are among them) propose overlapping spans with
 their format and the characters around them, in one pass over the texts. Base candidates that pass their
 kind's check are always spans. Boosted trees of depth 2, one ensemble per kind, learn from all rows which
 formats and contexts go with checked spans: base spans are the positive examples, candidates that fail
 their check and meet no base span the negative ones (addresses are checked in plain form, so obfuscated
-and spaced ones are neither); features are small integers, so what reaches the
-driver is a count per distinct feature row. A third of the documents (by hash) calibrates the score
-(Platt) and picks the least threshold with ``precision``; candidates that no base span of their kind
-overlaps and that reach it are added. Without examples of both classes a kind adds nothing.
+and spaced ones are neither). No feature says what the check says (digits, check sums, ranges): trees see
+shape, separators and surroundings, so they score a candidate as what its place makes of it, and candidates
+that no check decides, or that fail one in a place where checked spans stand, can be selected.
+
+The kind ``secret`` has no contract pattern: values assigned to a name such as token or password are its base,
+long mixed words anywhere else its other candidates; trees learn the shape of the values without the name. Its
+unnamed candidates are negative examples only for want of better ones, so its threshold asks for ``NAMED`` of a shape's
+examples to be named, less than ``precision``.
+
+Features are small integers, so what reaches the driver is a count per distinct feature row. A third of the
+documents (by hash) calibrates the score (Platt) and picks the least threshold with ``precision``; candidates
+that no base span of their kind overlaps and that reach it are added. Without examples of both classes a
+kind adds nothing.
 
 Null texts are empty. Offsets are code points, ends exclusive. Spans of different kinds may overlap.
-Rows that repeat a doc_id are each searched. Extra columns are ignored.
+Rows that repeat a doc_id, or have none, are each searched. An empty table gives none. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +33,11 @@ from pyspark.sql import functions as F
 
 from sparkmat.llm._spark import stage, texts
 
-KINDS = ["email", "ip", "card", "phone"]
+#: The kinds of the base digest come first.
+KINDS = ["email", "ip", "card", "phone", "secret"]
+N_BASE = 4
+#: Share of named ones among the examples that a selected shape of a secret needs.
+NAMED = 0.9
 _RUN = r"[A-Za-z0-9._%+-]"
 #: kind, whether it is the kind's base pattern, a plain string every match holds (or ''), pattern. Possessive
 #: repeats and the look-behinds give the same leftmost matches as the plain patterns, without backtracking.
@@ -40,11 +53,13 @@ GENERATORS = [
     ("card", False, "", r"(?<![0-9])[0-9]{4}([ .-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"),
     ("phone", False, "+", r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])"),
     ("phone", False, "", r"(?<![0-9.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
+    ("secret", True, "", r"(?i)(?:pass(?:word|wd|phrase)|secret|token|credential|(?:api|access|private|auth)[ _-]?key)s?[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?[^\s\"',;]{8,}+"),
+    ("secret", False, "", r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]{0,64}[0-9])(?=[0-9_/+=-]{0,64}[A-Za-z])[A-Za-z0-9_/+=-]{16,}+"),
 ]
 CONTEXT = 24
-_HINT = {"email": r"(?i)mail|contact|write|reply", "ip": r"(?i)\bip\b|host|addr|server", "card": r"(?i)card|visa|master|pay|credit", "phone": r"(?i)tel|phone|call|fax|mobile"}
+_HINT = {"email": r"(?i)mail|contact|write|reply", "ip": r"(?i)\bip\b|host|addr|server", "card": r"(?i)card|visa|master|pay|credit", "phone": r"(?i)tel|phone|call|fax|mobile", "secret": r"(?i)http|www|sha|md5|commit|uuid|file"}
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-FEATURES = ["digits", "luhn", "length", "groups", "even", "octets", "before", "after", "hint", "mark"]
+FEATURES = ["length", "groups", "separator", "even", "share", "distinct", "before", "after", "word", "hint"]
 CANDIDATE = "array<struct<g:int,s:bigint,e:bigint,m:string,l:string,r:string>>"
 _CHUNK = 256
 
@@ -102,9 +117,14 @@ def _address(m: Column) -> Column:
     return F.regexp_like(_plain(m), F.lit(rf"^{_RUN}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$"))
 
 
+def _value(m: Column) -> Column:
+    """A secret without the name it is assigned to."""
+    return F.regexp_replace(m, r"(?i)^(?:pass|secret|token|credential|api|access|private|auth)[A-Za-z _-]*[\"']?[ \t]*[:=][ \t]*[\"']?", "")
+
+
 def checked(kind: str, m: Column) -> Column:
     n = F.length(_digits(m))
-    return {"email": _address(m), "ip": F.regexp_like(m, F.lit(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")), "card": n.between(16, 19) & _luhn(m), "phone": n.between(8, 15)}[kind]
+    return {"email": _address(m), "ip": F.regexp_like(m, F.lit(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")), "card": n.between(16, 19) & _luhn(m), "phone": n.between(8, 15), "secret": F.regexp_like(m, F.lit("[:=]")) & F.regexp_like(_value(m), F.lit("[0-9]"))}[kind]
 
 
 def of_kind(c: Column, kind: str, base: bool | None = None) -> Column:
@@ -117,19 +137,26 @@ def _char_class(c: Column) -> Column:
 
 
 def features(kind: str, x: Column) -> dict[str, Column]:
-    """Small integers of a candidate's format and context."""
-    m = _plain(x["m"]) if kind == "email" else x["m"]
+    """Small integers of a candidate's shape and surroundings; none of them repeats ``checked``."""
+    m = _plain(x["m"]) if kind == "email" else _value(x["m"]) if kind == "secret" else F.regexp_replace(x["m"], r"^\+", "")
+    size = F.greatest(F.length(m), F.lit(1))
+    marks = F.regexp_replace(m, "[A-Za-z0-9]+", "")
+    first = F.left(marks, F.lit(1))
+    # A secret's name stands in its left context or in the match: neither is shown.
+    left = F.when(F.lit(kind == "secret"), F.lit("")).otherwise(x["l"])
+    end = F.rtrim(left)
+    last = F.right(end, F.lit(1))
     return {
-        "digits": F.least(F.length(_digits(m)), F.lit(20)),
-        "luhn": _luhn(m).cast("int"),
-        "length": F.least(F.floor(F.length(m) / 4), F.lit(12)).cast("int"),
-        "groups": F.least(F.length(F.regexp_replace(m, "[A-Za-z0-9]+", "")), F.lit(8)),
+        "length": F.least(F.floor(size / (2 if kind == "secret" else 4)), F.lit(24)).cast("int"),
+        "groups": F.least(F.length(marks), F.lit(8)),
+        "separator": F.when(first == "", 0).when(first == " ", 1).when(first == "-", 2).when(first == ".", 3).when(first == "@", 4).otherwise(5),
         "even": F.regexp_like(m, F.lit(r"^[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}$|\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}$")).cast("int"),
-        "octets": F.regexp_like(m, F.lit(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")).cast("int"),
-        "before": _char_class(F.right(x["l"], F.lit(1))),
+        "share": F.floor(F.length(_digits(m)) * 8 / size).cast("int"),
+        "distinct": F.floor(F.size(F.array_distinct(F.split(F.left(F.lower(m), F.lit(64)), ""))) / 4).cast("int"),
+        "before": F.lit(0) if kind == "secret" else _char_class(F.right(x["l"], F.lit(1))),
         "after": _char_class(F.left(x["r"], F.lit(1))),
+        "word": F.when(last == "", 0).when(F.regexp_like(last, F.lit("[:=>]")), 1).when(F.regexp_like(last, F.lit("[0-9]")), 2).when(F.regexp_like(end, F.lit(r"\p{L}{2}$")), 3).otherwise(4),
         "hint": F.regexp_like(x["l"], F.lit(_HINT[kind])).cast("int"),
-        "mark": F.when(_address(m), 2).when(F.contains(m, F.lit("@")), 1).when(F.startswith(m, F.lit("+")), 3).otherwise(0),
     }
 
 
@@ -233,7 +260,7 @@ def learn(found: DataFrame, precision: float = 0.99) -> dict[str, Boosted]:
         label = F.when(same, 1).when(~checked(kind, F.col("x")["m"]) & _apart(F.col("x"), F.col("b")), 0)
         rows = one.select("held", label.alias("y"), *(v.alias(k) for k, v in features(kind, F.col("x")).items())).where("y is not null").groupBy("held", "y", *FEATURES).count().orderBy("held", "y", *FEATURES).collect()
         a = np.array([[int(v) for v in r] for r in rows], float).reshape(len(rows), len(FEATURES) + 3)
-        out[kind] = boost(a[:, 2:-1], a[:, 1], a[:, -1], a[:, 0] > 0, precision=precision)
+        out[kind] = boost(a[:, 2:-1], a[:, 1], a[:, -1], a[:, 0] > 0, precision=min(precision, NAMED) if kind == "secret" else precision)
     return out
 
 
@@ -249,7 +276,7 @@ def _accepted(kind: str, i: int, model: Boosted):
 def spans(found: DataFrame, models: dict[str, Boosted]) -> DataFrame:
     """doc_id, base and spans: arrays of (k, s, e, m) in order of kind, start and end."""
     pack = lambda i, a: F.transform(a, lambda x: F.struct(F.lit(i).alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m")))
-    base = F.concat(*(pack(i, _base(F.col("c"), k)) for i, k in enumerate(KINDS)))
+    base = F.concat(*(pack(i, _base(F.col("c"), k)) for i, k in enumerate(KINDS)))  # checked secrets among them
     keys = [c for c in found.columns if c != "c"]
     rows = found.select(*keys, "c", base.alias("base"))
     more = []
@@ -267,11 +294,14 @@ def digest(a: Column) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 (of these four kinds), spans, n_secret, n_added and n_spans (all)."""
     found = search(docs)
     out = spans(found, learn(found))
-    counts = [F.size(F.filter("base", _only(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return out.select("doc_id", *counts, F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+    count = lambda a, k: F.size(F.filter(a, k)).cast("long")
+    contract = F.filter("base", lambda b: b["k"] < N_BASE)
+    counts = [count("base", _only(i)).alias(f"n_{k}") for i, k in enumerate(KINDS[:N_BASE])]
+    more = [count("spans", _only(N_BASE)).alias("n_secret"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"), F.size("spans").cast("long").alias("n_spans")]
+    return out.select("doc_id", *counts, F.sha2(digest(contract), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"), *more)
 
 
 def redact(docs: DataFrame) -> DataFrame:

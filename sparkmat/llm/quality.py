@@ -2,13 +2,14 @@
 
 Fertility of a whole text under a public vocabulary is measured by characters per token, the share of
 byte-fallback tokens and the entropy of its token distribution; a band per script (that of most of its
-letters' bytes) rejects texts outside. Long texts repeat tokens, so for Latin texts the least entropy is also
+letters, ``SCRIPTS``) rejects texts outside. Long texts repeat tokens, so for Latin texts the least entropy is also
 a curve over the number of tokens: of documents of sf0.1 that pass the base rule and are neither tables nor
 stutter it lies under about 0.2 % at each length. Other scripts were not measured and have wide bands only;
 ``fit_bands`` derives bands from a corpus' percentiles over all its rows.
 
 A null or empty text has zeros everywhere, fails the base rule (under 20 words) and has null fertility.
-Repeated rows are judged each; extra columns are ignored.
+Invalid UTF-8 counts a code point for each byte that is no continuation; its letters there are none. Repeated rows
+and rows without a doc_id are judged each; an empty table gives none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ WINDOW = 8
 
 @dataclass(frozen=True)
 class Band:
-    """Inclusive limits; entropy is judged relative to the most that n tokens allow, log2(min(n, 1024)).
+    """Inclusive limits; entropy is judged relative to about the most that n tokens allow, log2(min(n, 1024) + 1).
 
     ``floor``: points (log2 n, least bits), joined by lines; none under the first, level after the last.
     """
@@ -47,10 +48,19 @@ class Band:
         return np.interp(np.log2(np.maximum(n, 1)), at, bits, left=0.0)
 
 
-#: Per script; the script is told from lead bytes: Latin (ASCII and U+0080-U+024F), other two-byte, CJK and other three-byte.
+# First code points of the Unicode ranges of scripts, in order; "" for ranges of no script below.
+RANGES = [
+    (0x41, "latin"), (0x5B, ""), (0x61, "latin"), (0x7B, ""), (0xC0, "latin"), (0xD7, ""), (0xD8, "latin"), (0x250, ""), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "other"), (0x590, "hebrew"), (0x600, "arabic"), (0x700, "other"), (0x750, "arabic"), (0x780, "other"),
+    (0x8A0, "arabic"), (0x900, "devanagari"), (0x980, "indic"), (0xE00, "thai"), (0xE80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, ""), (0x2C00, "other"), (0x2E00, ""), (0x3040, "kana"), (0x3100, "han"),
+    (0x3130, "hangul"), (0x3190, "han"), (0x31F0, "kana"), (0x3200, ""), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, ""), (0xF900, "han"), (0xFB00, "latin"), (0xFB10, "other"), (0xFB50, "arabic"), (0xFE00, ""), (0xFE70, "arabic"), (0xFEFF, ""), (0x20000, "han"), (0x32000, ""),
+]
 _LATIN = ((4.3, 2.55), (5.5, 4.715), (6.5, 5.176), (7.5, 5.628), (8.5, 5.811), (9.5, 5.928), (10.5, 6.04), (11.5, 6.166), (12.5, 6.197), (13.5, 6.206))
-BANDS = {"latin": Band(1.3, 7.0, 0.20, 0.58, _LATIN), "two_byte": Band(0.6, 6.0, 0.60, 0.25), "three_byte": Band(0.3, 6.0, 0.95, 0.25), "none": Band(0.3, 16.0, 0.95, 0.0)}
+_LETTERS, _SIGNS = Band(0.6, 6.0, 0.60, 0.25), Band(0.3, 6.0, 0.95, 0.25)
+#: Per script of most letters ("none": no letter). Only Latin was measured.
+BANDS = {"latin": Band(1.3, 7.0, 0.20, 0.58, _LATIN)} | dict.fromkeys(("greek", "cyrillic", "hebrew", "arabic", "georgian"), _LETTERS) | dict.fromkeys(("devanagari", "indic", "thai", "hangul", "kana", "han", "other"), _SIGNS) | {"none": Band(0.3, 16.0, 0.95, 0.0)}
 SCRIPTS = list(BANDS)
+_FIRST = np.array([a for a, _ in RANGES], np.uint32)
+_SCRIPT = np.array([-1, *(SCRIPTS.index(s) if s else -1 for _, s in RANGES)])
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_tokens long, chars_per_token double, fallback_share double, token_entropy double, script string, kept boolean"
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
@@ -115,6 +125,25 @@ def fertility(tokens: np.ndarray, offsets: np.ndarray, fallback: np.ndarray) ->
     return n, _per_text(fallback[tokens], offsets), np.maximum(np.log2(some) - s / some, 0)
 
 
+def scripts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Index in ``SCRIPTS`` of the script of most letters of each text, the first on ties."""
+    n = len(offsets) - 1
+    letters = _per_text(((data | 32) >= 97) & ((data | 32) <= 122), offsets)
+    votes = np.zeros((n, len(SCRIPTS) - 1), np.int64)
+    votes[:, 0] = letters
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        # Code points of the other characters, from their bytes; what is cut off reads as zeros and is no letter.
+        tail = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.uint32)
+        b, c, d, e = (tail[lead + i] & (0xFF if i == 0 else 0x3F) for i in range(4))
+        point = np.where(b < 0xE0, (b & 0x1F) << 6 | c, np.where(b < 0xF0, (b & 0x0F) << 12 | c << 6 | d, (b & 0x07) << 18 | c << 12 | d << 6 | e))
+        script = _SCRIPT[np.searchsorted(_FIRST, point, "right")]
+        some = script >= 0
+        text = np.searchsorted(offsets, lead[some], "right") - 1
+        np.add.at(votes, (text, script[some]), 1)
+    return np.where(votes.any(1), votes.argmax(1), len(SCRIPTS) - 1)
+
+
 def judge(column: pa.Array, bands: dict[str, Band], model: str) -> dict[str, pa.Array]:
     """The columns of ``SCHEMA`` but doc_id for an Arrow column of texts."""
     pieces, cols = cache(model), [[np.zeros(0, t)] for t in (int, int, int, int, int, bool, int, int, int, float, int)]
@@ -125,9 +154,7 @@ def judge(column: pa.Array, bands: dict[str, Band], model: str) -> dict[str, pa.
         repeat = repeated_words(X.span_hash(data, starts, ends), first)
         ids, at = pieces.tokens(data, offsets)
         n, low, entropy = fertility(ids, at, pieces.coder.bytes)
-        letters = _per_text((((data | 32) >= 97) & ((data | 32) <= 122)) | ((data >= 0xC3) & (data <= 0xC9)), offsets)
-        votes = np.stack([letters, _per_text((data >= 0xCA) & (data < 0xE0), offsets), _per_text(data >= 0xE0, offsets)])
-        script = np.where(votes.sum(0) == 0, 3, votes.argmax(0))
+        script = scripts(data, offsets)
         failed = (words < 20) | (100 * repeat > 30 * words)
         white = _per_text(X.SPACE[data], offsets)
         for c, v in zip(cols, (words, points - white, _per_text(_SYMBOL[data], offsets), duplicate_lines(data, offsets, starts), repeat, failed, n, points, low, entropy, script)):
@@ -154,14 +181,13 @@ def quality_rules(docs: DataFrame, bands: dict[str, Band] = BANDS, model: str =
 
 
 def filter_documents(docs: DataFrame, bands: dict[str, Band] = BANDS, model: str = "piece_bpe_32k.model") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all columns, judged where they are read."""
-    place = docs.columns.index("text")
+    """The rows of ``docs`` that the rules keep, with all columns; workers get the texts and give a verdict, rows stay where they are."""
 
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(judge(batch.column(place), bands, model)["kept"])
+    @F.arrow_udf("boolean")
+    def keep(text: pa.Array) -> pa.Array:
+        return judge(text, bands, model)["kept"]
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(keep(F.col("text").cast("string")))
 
 
 def fit_bands(measured: DataFrame, low: float = 0.0005, high: float = 0.9995) -> dict[str, Band]:

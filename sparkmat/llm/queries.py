@@ -65,11 +65,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op8_warc": """
-            WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages WHERE page_id IS NOT NULL),
+            WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
             d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
             f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM d)
             SELECT page_id, payload_bytes, payload_digest,
-                   CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
-                   CASE WHEN first_id < page_id THEN first_id END AS refers_to
+                   CASE WHEN first_id < page_id OR (page_id IS NULL AND first_id IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN first_id < page_id OR page_id IS NULL THEN first_id END AS refers_to
             FROM f""",
     }

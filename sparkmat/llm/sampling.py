@@ -6,49 +6,69 @@ open at its end; its priority is the largest perturbed log-probability (Gumbel n
 segmentations below it, drawn top down: the parent's value belongs to one child, the others are Gumbel
 variables truncated at it. Priorities are exact maxima, so the search pops the k best segmentations one by
 one and each pop completes one path. As backward sums make every arc's probability local, a path is sampled
-for all words of a block of texts at once, and only its k best siblings can ever be popped.
+for all words of a block of texts at once, and only its k best siblings can ever be popped; the searches of a
+block's texts advance together, a pop each.
 
 The inclusion score of a sample is log P(its perturbed value exceeds the (k+1)-th best); exp(log_prob -
 log_inclusion) weights give unbiased sums over all segmentations (a sum with all of them has score 0).
 
 Pieces never hold the blank mark after another character (checked on load), so words have lattices of their
-own and these are cached, up to ``CACHE_STATES`` positions. Noise comes from a counter hashed with ``seed``
-and the row's doc_id: results depend neither on partitions nor on other rows.
+own and these are cached, up to ``CACHE_STATES`` positions and a block's. Noise comes from a counter hashed
+with ``seed`` and the row's doc_id: results depend neither on partitions nor on other rows.
 
 The vocabulary given is a BPE one, whose scores are ranks and not log-probabilities: a piece of rank r then
 has the score -log(r + 1) (Zipf's law); unigram files use their own scores. Characters outside the
 vocabulary are one arc, written as byte pieces.
 
 Null and empty texts have one segmentation, the empty one; texts with fewer than k segmentations return all
-of them; a null doc_id is seeded as 0; repeated rows return the same samples again; extra columns are ignored.
+of them; invalid UTF-8 reads as replacement characters; a null doc_id is seeded as 0; repeated rows return the
+same samples again; extra columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sparkmat.llm import _text as X
 from sparkmat.llm._spark import texts
 from sparkmat.llm._text import mix
 from sparkmat.llm._tokens import vocabulary_path
 
 MODEL = "piece_bpe_32k.model"
+#: The blank mark. Inside this module normalised texts have a blank in its place.
 BLANK = "▁"
 CACHE_STATES = 1 << 20
-BLOCK_CHARS = 1 << 19
+BLOCK_BYTES = 1 << 19
 #: Steps of a path whose noise is always drawn; of the rest only those that can still be among the k best.
 EARLY = 64
 #: No more than this is the noise of a 53-bit draw: -log(-log(1 - 2**-54)).
 MOST_NOISE = 37.5
-_SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+#: Log-probabilities are summed along a path in whole units of this, so sums do not depend on the block.
+UNIT = 2.0**-36
+_SLOTS = 20
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
-_loaded: dict[tuple, Lattices] = {}
+_loaded: dict[tuple, Lattices] = X.KEPT.setdefault("lattices", {})
+
+
+class _Rows:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype):
+        self.a, self.n = np.zeros(1 << 12, dtype), 0
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.a):
+            more = np.zeros(max(len(self.a), self.n + len(x) - len(self.a)), self.a.dtype)
+            self.a = np.concatenate([self.a, more])
+        self.a[self.n : self.n + len(x)] = x
+        self.n += len(x)
 
 
 class Lattices:
@@ -57,79 +77,108 @@ class Lattices:
     def __init__(self, model: str, alpha: float):
         import sentencepiece
 
-        self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path(model))
+        path = vocabulary_path(model)
+        self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.plain_blanks = _only_marks_blanks(path)
         n = sp.get_piece_size()
         self.byte_id = {int(p[3:5], 16): i for i in range(n) if sp.is_byte(i) for p in [sp.id_to_piece(i)]}
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         score = {i: sp.get_score(i) for i in plain}
         if all(s == int(s) for s in score.values()):
             score = {i: -math.log1p(-s) for i, s in score.items()}
-        pieces = {sp.id_to_piece(i): i for i in plain}
-        if any(re.search(f"[^{BLANK}]{BLANK}", p) for p in pieces):
+        pieces = {sp.id_to_piece(i).replace(BLANK, " "): i for i in plain}
+        if any(re.search("[^ ] ", p) for p in pieces):
             raise ValueError("a piece holds the blank mark after another character")
         self.longest = max(map(len, pieces))
-        h = np.array([_points_hash(p) for p in pieces], np.uint64)
-        order = np.argsort(h)
-        self.hashes, self.piece = h[order], np.array(list(pieces.values()))[order]
-        self.may = np.zeros(1 << 20, bool)
-        self.may[(mix(h) >> np.uint64(44)).astype(np.int64)] = True
+        self._index(np.array([_points_hash(p) for p in pieces], np.uint64), np.array(list(pieces.values())))
         self.score = np.full(n + 1, alpha * (min(score.values()) - 10))  # the last one: an unknown character
         self.score[list(score)] = alpha * np.array(list(score.values()))
         # Ids of an arc: one, or the bytes of a character outside the vocabulary.
-        raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.encode() for i, p in enumerate(map(sp.id_to_piece, range(n)))]
+        raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(map(sp.id_to_piece, range(n)))]
         self.raw_len = np.array([len(r) for r in raw])
         self.raw_at = np.cumsum(self.raw_len) - self.raw_len
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.clear()
 
+    def _index(self, h: np.ndarray, ids: np.ndarray) -> None:
+        """Pieces by the top bits of their hash; those whose slot is taken stand in a small sorted list."""
+        slot = (h >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        _, first = np.unique(slot, return_index=True)
+        more = np.setdiff1d(np.arange(len(h)), first)
+        self.slot_hash, self.slot_piece = np.zeros(1 << _SLOTS, np.uint64), np.full(1 << _SLOTS, -1, np.int32)
+        self.slot_hash[slot[first]], self.slot_piece[slot[first]] = h[first], ids[first]
+        more = more[np.argsort(h[more])]
+        self.more_hash, self.more_piece = np.append(h[more], np.uint64(2**64 - 1)), np.append(ids[more], -1)
+        self.crowded = np.zeros(1 << _SLOTS, bool)
+        self.crowded[slot[more]] = True
+
+    def _pieces(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of the hashes that are a piece's, and the pieces."""
+        slot = (h >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        piece = self.slot_piece[slot]
+        other = np.flatnonzero((self.slot_hash[slot] != h) & (piece >= 0))
+        piece[other] = -1
+        other = other[self.crowded[slot[other]]]
+        if len(other):
+            at = np.searchsorted(self.more_hash, h[other])
+            piece[other] = np.where(self.more_hash[at] == h[other], self.more_piece[at], -1)
+        found = np.flatnonzero(piece >= 0)
+        return found, piece[found]
+
     def clear(self) -> None:
-        self.first: dict[str, int] = {}
-        self.arcs = np.zeros(1, np.int64)  # where the arcs of a state begin, one longer than the states
-        self.cum = np.zeros(0)  # probability of the state's arcs up to this one
-        self.logp, self.rest = np.zeros(0), np.zeros(0)
-        self.to, self.ids_at, self.n_ids, self.ids = (np.zeros(0, np.int64) for _ in range(4))
+        self.key = ~(np.arange(1 << _SLOTS, dtype=np.uint64) << np.uint64(64 - _SLOTS))  # word hash by slot; none belongs to its own
+        self.first = np.zeros(1 << _SLOTS, np.int32)
+        self._ends = _Rows(np.int32)  # where the arcs of a state begin, one longer than the states
+        self._ends.add(np.zeros(1, np.int32))
+        self._cum = _Rows(np.float64)  # probability of the state's arcs up to this one
+        self._logp, self._rest = _Rows(np.float64), _Rows(np.float64)
+        self._to, self._n_ids, self._ids_at, self._ids = _Rows(np.int32), _Rows(np.int8), _Rows(np.int32), _Rows(np.int32)
+
+    @property
+    def arcs(self) -> np.ndarray:
+        return self._ends.a[: self._ends.n]
+
+    @property
+    def logp(self) -> np.ndarray:
+        return self._logp.a
 
     def _arcs(self, points: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
         """Source, length, piece (-1: unknown character) and rank of all arcs, and the arcs of each position; left: characters to the word's end."""
-        at, h, found, width = np.arange(len(points)), np.zeros(len(points), np.uint64), [], np.zeros(len(points), np.int64)
+        own = _point(points)
+        at, h, found, width = np.arange(len(points), dtype=np.int32), np.zeros(len(points), np.uint64), [], np.zeros(len(points), np.int32)
         for n in range(1, self.longest + 1):
-            ok = left[at] >= n
-            at, h = at[ok], h[ok]
-            h = h * _A + _point(points[at + n - 1])
-            hit = np.flatnonzero(self.may[(mix(h) >> np.uint64(44)).astype(np.int64)])
-            slot = np.minimum(np.searchsorted(self.hashes, h[hit]), len(self.hashes) - 1)
-            same = self.hashes[slot] == h[hit]
-            src, piece = at[hit[same]], self.piece[slot[same]]
+            if n > 1:
+                ok = left[at] >= n
+                at, h = at[ok], h[ok]
+                if not len(at):
+                    break
+            h = h * _A
+            h += own[at + (n - 1)]
+            hit, piece = self._pieces(h)
+            src = at[hit]
             if n == 1:
                 lone = np.ones(len(points), bool)
                 lone[src] = False
-                lone = np.flatnonzero(lone)
-                src, piece = np.concatenate([src, lone]), np.concatenate([piece, np.full(len(lone), -1)])
-            found.append((src, np.full(len(src), n), piece, width[src]))
+                lone = np.flatnonzero(lone).astype(np.int32)
+                src, piece = np.concatenate([src, lone]), np.concatenate([piece, np.full(len(lone), -1, np.int32)])
+            found.append((src, np.full(len(src), n, np.int32), piece, width[src]))
             width[src] += 1
         return *map(np.concatenate, zip(*found)), width
 
-    def add(self, words: list[str]) -> None:
-        """Lattices of new words."""
-        if len(self.arcs) > CACHE_STATES:
-            raise OverflowError
-        if not words:
-            return
-        text = "".join(words)
+    def add(self, text: str, size: np.ndarray) -> np.ndarray:
+        """First states of new words: ``text`` has them one after another, ``size`` their characters."""
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        size = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(size)
-        state, count, n = len(self.arcs) - 1, len(self.logp), len(points)
-        self.first.update(zip(words, (ends - size + state).tolist()))
+        state, count, n = self._ends.n - 1, self._logp.n, len(points)
         left = np.repeat(ends, size) - np.arange(n)
         src, length, piece, rank, width = self._arcs(points, left)
-        # Backward sums, for all words at once by the distance from the end. All reordering is by counted places.
+        # Arcs stand by the distance of their source from its word's end: backward sums go over all words at once.
         by_left = np.argsort(left.astype(np.uint16) if left.max() < 1 << 16 else left, kind="stable")
         begin = np.concatenate([[0], np.cumsum(width[by_left])])
         start = np.empty(n, np.int64)
         start[by_left] = begin[:-1]
         place = start[src] + rank
-        value, to, beta = np.empty(len(src)), np.empty(len(src), np.int64), np.zeros(n + 1)
+        value, to, beta = np.empty(len(src)), np.empty(len(src), np.int32), np.zeros(n + 1)
         value[place], to[place] = self.score[piece], np.where(length == left[src], n, src + length)
         cut = np.searchsorted(left[by_left], np.arange(1, left.max() + 2))
         for a, b in zip(cut[:-1], cut[1:]):
@@ -139,7 +188,7 @@ class Lattices:
                 at = begin[a:b] - lo
                 top = np.maximum.reduceat(value[lo:hi], at)
                 beta[by_left[a:b]] = top + np.log(np.add.reduceat(np.exp(value[lo:hi] - np.repeat(top, np.diff(begin[a : b + 1]))), at))
-        value, to = value[place] - beta[src], to[place]
+        value = value[place] - beta[src]
         # Into the order of the states, the likeliest arc first.
         begin = np.cumsum(width) - width
         place = begin[src] + rank
@@ -150,50 +199,121 @@ class Lattices:
         best[src[tops]] = tops
         firsts = np.flatnonzero(rank == 0)
         place[firsts], place[best] = place[best[src[firsts]]], begin
-        src[place], piece[place], to[place], value[place] = src.copy(), piece.copy(), to.copy(), value.copy()
+        order = np.empty(len(place), np.int64)
+        order[place] = np.arange(len(place))
+        src, piece, value, length = src[order], piece[order], value[order], length[order]
+        to = np.where(length == left[src], -1, src + length + state)
         p = np.exp(value)
-        likeliest = np.zeros(len(p), bool)
-        likeliest[begin] = True
-        others = np.add.reduceat(np.where(likeliest, 0.0, p), begin)
+        likeliest = p[begin]
+        p[begin] = 0.0
+        others = np.add.reduceat(p, begin)
+        p[begin] = likeliest
         rest = 1 - p
         rest[begin] = others  # summed: it may be far under the rounding of 1 - p
         total = np.cumsum(p)
-        width = np.diff(np.append(begin, len(p)))
-        cum = total - np.repeat(total[begin] - p[begin], width)
+        cum = total - np.repeat(total[begin] - likeliest, width)
         cum[begin + width - 1] = 1.0
         value[begin[width == 1]] = 0.0
-        n_ids, ids = np.ones(len(p), np.int64), piece
+        n_ids, ids = np.ones(len(p), np.int8), piece
         if len(odd := np.flatnonzero(piece < 0)):
-            own = [[self.byte_id.get(b, 0) for b in text[i].encode()] if self.byte_id else [0] for i in src[odd].tolist()]
+            own = [[self.byte_id.get(b, 0) for b in chr(c).replace(" ", BLANK).encode()] if self.byte_id else [0] for c in points[src[odd]].tolist()]
             n_ids[odd] = list(map(len, own))
             ids = np.repeat(piece, n_ids)
             ids[ids < 0] = [x for o in own for x in o]
-        self.arcs = np.concatenate([self.arcs, count + begin + width])
-        self.cum, self.logp, self.rest = (np.concatenate(x) for x in ((self.cum, cum), (self.logp, value), (self.rest, np.log(np.maximum(rest, 0.0)))))
-        self.to, self.n_ids, self.ids = (np.concatenate(x) for x in ((self.to, np.where(to < n, to + state, -1)), (self.n_ids, n_ids), (self.ids, ids)))
-        self.ids_at = np.cumsum(self.n_ids) - self.n_ids
-
-    def states(self, words: list[str]) -> np.ndarray:
-        """First state of each word."""
-        try:
-            if new := list({w: 0 for w in words if w not in self.first}):
-                self.add(new)
-        except OverflowError:
+        self._ends.add(count + begin + width)
+        self._cum.add(cum)
+        self._logp.add(value)
+        self._rest.add(np.log(np.maximum(rest, 0.0)))
+        self._to.add(to)
+        self._ids_at.add(self._ids.n + np.cumsum(n_ids) - n_ids)
+        self._n_ids.add(n_ids)
+        self._ids.add(ids)
+        return ends - size + state
+
+    def states(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """First state of each word; all states stay valid until the next call."""
+        if self._ends.n > CACHE_STATES:
             self.clear()
-            self.add(list(dict.fromkeys(words)))
-        return np.fromiter(map(self.first.__getitem__, words), np.int64, len(words))
-
-    def ids_of(self, arcs: np.ndarray) -> np.ndarray:
-        n = self.n_ids[arcs]
+        if not len(starts):
+            return np.zeros(0, np.int32)
+        h = X.span_hash(data, starts, ends)
+        slot = (h >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        out = self.first[slot]
+        miss = np.flatnonzero(self.key[slot] != h)
+        if len(miss):
+            u, pick, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            pick = miss[pick]
+            s, n = starts[pick], ends[pick] - starts[pick]
+            raw = data[np.repeat(s - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            size = X.count_points(raw, np.concatenate([[0], np.cumsum(n)]))
+            new = self.add(raw.tobytes().decode("utf-8"), size)
+            out[miss] = new[back]
+            self.key[slot[pick]], self.first[slot[pick]] = u, new
+        return out
+
+    def ids_of(self, arcs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the arcs, and how many each has."""
+        n, at = self._n_ids.a[arcs], self._ids_at.a[arcs]
         if (n == 1).all():
-            return self.ids[self.ids_at[arcs]]
-        at = np.repeat(self.ids_at[arcs] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return self.ids[at]
-
-    def bytes_of(self, ids: np.ndarray) -> bytes:
-        """Decodes ids to normalised text."""
-        n = self.raw_len[ids]
-        return self.raw[np.repeat(self.raw_at[ids] - np.cumsum(n) + n, n) + np.arange(n.sum())].tobytes()
+            return self._ids.a[at], n
+        n = n.astype(np.int64)
+        return self._ids.a[np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())], n
+
+    def normal(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes and offsets of a block's normalised texts, blanks in place of blank marks."""
+        raw = data.tobytes()
+        if self.plain_blanks and _valid(raw) and BLANK.encode() not in raw:
+            some = np.diff(offsets) > 0
+            more = np.concatenate([[0], np.cumsum(some)])
+            return np.insert(data, offsets[:-1][some], 0x20), offsets + more
+        parts = []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            text = raw[a:b].decode("utf-8", "replace")
+            parts.append((self.sp.normalize(text) if text else "").replace(BLANK, " ").encode())
+        return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
+
+
+def _valid(raw: bytes) -> bool:
+    try:
+        raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def _fields(blob: bytes):
+    """(number, value) of the fields of a protocol buffer message."""
+    at = 0
+
+    def varint():
+        nonlocal at
+        value = shift = 0
+        while True:
+            b = blob[at]
+            at += 1
+            value |= (b & 0x7F) << shift
+            shift += 7
+            if b < 0x80:
+                return value
+
+    while at < len(blob):
+        tag = varint()
+        if tag & 7 == 0:
+            yield tag >> 3, varint()
+        else:
+            n = {1: 8, 2: None, 5: 4}[tag & 7]
+            n = varint() if n is None else n
+            yield tag >> 3, blob[at : at + n]
+            at += n
+
+
+def _only_marks_blanks(path: str) -> bool:
+    """Whether normalisation only puts the mark for each blank and one before a text (field 3 of a model file)."""
+    with open(path, "rb") as f:
+        spec = [dict(_fields(v)) for k, v in _fields(f.read()) if k == 3]
+    rule = spec[0] if spec else {}
+    # 1 name, 2 compiled rules, 3 dummy prefix, 4 remove extra blanks, 5 mark blanks, 6 rules.
+    return bool(spec) and not rule.get(2) and bool(rule.get(3, 1)) and not rule.get(4, 1) and bool(rule.get(5, 1)) and not rule.get(6)
 
 
 def _point(points: np.ndarray) -> np.ndarray:
@@ -209,7 +329,9 @@ def _points_hash(piece: str) -> int:
 
 def lattices(model: str, alpha: float) -> Lattices:
     key = model, alpha
+    X.only("lattices")
     if key not in _loaded:
+        _loaded.clear()
         _loaded[key] = Lattices(model, alpha)
     return _loaded[key]
 
@@ -219,27 +341,33 @@ def _uniform(h: np.ndarray) -> np.ndarray:
     return ((mix(h) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
 
 
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each, ``count`` long, one after another."""
+    return np.repeat(start - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+
+
 def _walk(lat: Lattices, state: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sampled arcs from each state to its word's end: (index of the start, arc), starts in order, arcs in order."""
-    at, whose, step, words, arcs = state, np.arange(len(state)), 0, [], []
+    """Sampled arcs from each state to its word's end, one start after another, and how many each has."""
+    at, whose, step, parts, length = state, np.arange(len(state), dtype=np.int32), 0, [], np.zeros(len(state), np.int64)
+    ends, cum, to = lat.arcs, lat._cum.a, lat._to.a
     while len(at):
         # The noise of a word's step is a counter's hash: the same whatever else is in the block.
         u = _uniform(noise[whose] + np.uint64(step) * _C)
-        arc = lat.arcs[at]
-        late = np.flatnonzero(u >= lat.cum[arc])  # arcs go from the likeliest on, so most are found at once
+        arc = ends[at]
+        late = np.flatnonzero(u >= cum[arc])  # arcs go from the likeliest on, so most are found at once
         while len(late):
             arc[late] += 1
-            late = late[u[late] >= lat.cum[arc[late]]]
-        words.append(whose)
-        arcs.append(arc)
-        at = lat.to[arc]
-        go = at >= 0
+            late = late[u[late] >= cum[arc[late]]]
+        parts.append((whose, arc))
+        length[whose] = step + 1
+        at = to[arc]
+        go = np.flatnonzero(at >= 0)
         at, whose, step = at[go], whose[go], step + 1
-    if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    w, a = np.concatenate(words), np.concatenate(arcs)
-    order = np.argsort(w, kind="stable")
-    return w[order], a[order]
+    out = np.empty(int(length.sum()), np.int32)
+    begin = np.cumsum(length) - length
+    for step, (whose, arc) in enumerate(parts):
+        out[begin[whose] + step] = arc
+    return out, length
 
 
 def _truncated(loc: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -247,156 +375,249 @@ def _truncated(loc: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
     return -np.logaddexp(-top, np.log(-np.log(u)) - loc)
 
 
-class _Search:
-    """The search of one text: its frontier and the samples so far. A path is (arcs, words of the arcs)."""
-
-    def __init__(self, seed: np.uint64, first: np.ndarray):
-        self.seed, self.first, self.heap, self.paths, self.found, self.serial = seed, first, [], [], [], 0
-
-    def push(self, value: float, entry: tuple) -> None:
-        self.serial += 1
-        heapq.heappush(self.heap, (-value, self.serial, entry))
-
-
-def _grow(lat: Lattices, searches: list[_Search], starts: list[tuple], turn: int, k: int) -> None:
-    """Complete a path of each search. starts: (kept arcs, their words, log-probability, value, next word, its state or -1)."""
-    state, noise, counts = [], [], []
-    for s, (_, _, _, _, word, inside) in zip(searches, starts):
-        tail = s.first[word:]
-        if inside >= 0:
-            tail = np.concatenate([[inside], s.first[word + 1 :]])
-        n = len(tail)
-        state.append(tail)
-        noise.append(mix(s.seed + np.uint64(turn) * _B + np.arange(word, word + n, dtype=np.uint64) * _A))
-        counts.append(n)
-    end = np.cumsum(counts)
-    w, arc = _walk(lat, np.concatenate(state), np.concatenate(noise))
-    cut = np.searchsorted(w, np.concatenate([[0], end]))
-    logp = lat.logp[arc]
-    total = np.concatenate([[0.0], np.cumsum(logp)])
-    for i, (s, (head, head_words, base, value, word, _)) in enumerate(zip(searches, starts)):
-        lo, hi = cut[i], cut[i + 1]
-        path = np.concatenate([head, arc[lo:hi]])
-        words = np.concatenate([head_words, w[lo:hi] - (end[i] - counts[i]) + word])
-        before = base + (total[lo:hi] - total[lo])
-        loc = before + lat.rest[arc[lo:hi]]
-        s.found.append((path, base + float(np.sum(logp[lo:hi])), value))
-        s.paths.append((path, words))
-        early = np.flatnonzero(loc[:EARLY] > -np.inf)
-        keep, drawn = early, _noise(s, turn, early, loc, value)
-        floor = np.partition(drawn, len(drawn) - k)[len(drawn) - k] if len(drawn) >= k else -np.inf
-        late = EARLY + np.flatnonzero(loc[EARLY:] + MOST_NOISE > floor)
-        if len(late):
-            keep, drawn = np.concatenate([keep, late]), np.concatenate([drawn, _noise(s, turn, late, loc, value)])
-        for j in np.lexsort((keep, -drawn))[:k]:
-            t = int(keep[j])
-            s.push(float(drawn[j]), (len(s.paths) - 1, len(head) + t, float(before[t]), frozenset([int(arc[lo + t])])))
-
-
-def _noise(s: _Search, turn: int, steps: np.ndarray, loc: np.ndarray, value: float) -> np.ndarray:
-    u = _uniform((s.seed ^ _C) + np.uint64(turn) * _A + steps.astype(np.uint64) * _B)
-    return _truncated(loc[steps], np.full(len(steps), value), u)
-
-
-def _pop(lat: Lattices, s: _Search, turn: int) -> tuple:
-    """The best open node's best arc, as a start for _grow; the node's other arcs go back to the frontier."""
-    value, _, (path, t, before, closed) = heapq.heappop(s.heap)
-    value = -value
-    arcs, words = s.paths[path]
-    # All arcs of the state that arcs[t] leaves.
-    state = int(np.searchsorted(lat.arcs, arcs[t], "right")) - 1
-    own = [a for a in range(int(lat.arcs[state]), int(lat.arcs[state + 1])) if a not in closed]
-    u, v = _uniform((s.seed ^ _A) + np.array([2 * turn, 2 * turn + 1], np.uint64) * _C)
-    p = np.exp(lat.logp[own] - lat.logp[own].max())
-    pick = min(int(np.searchsorted(np.cumsum(p), u * p.sum(), "right")), len(own) - 1)
-    arc = own.pop(pick)
-    if own:
-        loc = before + float(np.logaddexp.reduce(lat.logp[own]))
-        s.push(float(_truncated(np.array([loc]), np.array([value]), np.array([v]))[0]), (path, t, before, closed | {arc}))
-    word, to = int(words[t]), int(lat.to[arc])
-    return np.append(arcs[:t], arc), words[: t + 1], before + float(lat.logp[arc]), value, word + (to < 0), to
+@dataclass
+class _Paths:
+    """The paths that one turn completed: of text ``text[i]`` the arcs [at[i], at[i + 1]) and their words."""
+
+    text: np.ndarray
+    at: np.ndarray
+    arc: np.ndarray
+    word: np.ndarray
+    value: np.ndarray
+
+
+class _Frontier:
+    """The k best open nodes of each text: path and step whose arcs are open, but for the closed ones."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.value = np.full((n, k), -np.inf)
+        self.path, self.step, self.before = np.zeros((n, k), np.int32), np.zeros((n, k), np.int64), np.zeros((n, k))
+        self.closed = np.full((n, k, k), -1, np.int32)
+
+    def push(self, text: np.ndarray, value, path, step, before, closed) -> None:
+        """Nodes of distinct or repeated texts, the better ones of a text first."""
+        while len(text):  # one node of each text at a time takes the place of its worst
+            _, one = np.unique(text, return_index=True)
+            t, worst = text[one], self.value[text[one]].argmin(1)
+            better = value[one] > self.value[t, worst]
+            t, w, i = t[better], worst[better], one[better]
+            self.value[t, w], self.path[t, w], self.step[t, w], self.before[t, w] = value[i], path[i], step[i], before[i]
+            self.closed[t, w] = closed[i]
+            left = np.ones(len(text), bool)
+            left[one] = False
+            text, value, path, step, before, closed = (x[left] for x in (text, value, path, step, before, closed))
+
+
+def _grow(lat, offsets, first, seeds, turn, k, text, head, extra, base, value, word, inside, paths, front) -> None:
+    """Complete a path of each text.
+
+    head: (path, its offset, length) kept of an earlier path; extra: the arc after it (-1: none); base: their
+    log-probability; word: the next word of the text; inside: the state in it, or -1 for its first.
+    """
+    count = offsets[text + 1] - offsets[text] - word
+    state = first[_ranges(offsets[text] + word, count)]
+    own = np.repeat(np.arange(len(text)), count)
+    begin = np.cumsum(count) - count
+    mid = np.flatnonzero(inside >= 0)
+    state[begin[mid]] = inside[mid]
+    words = _ranges(word, count)
+    noise = mix(seeds[text][own] + np.uint64(turn) * _B + words.astype(np.uint64) * _A)
+    arc, length = _walk(lat, state, noise)
+    tail = np.bincount(own, length, minlength=len(text)).astype(np.int64)
+    whose = np.repeat(own, length)
+    at = np.cumsum(tail) - tail
+    place = np.arange(len(arc)) - at[whose]
+    # The whole paths: head, extra arc, tail.
+    more = (extra >= 0).astype(np.int64)
+    size = head[2] + more + tail
+    ends = np.concatenate([[0], np.cumsum(size)])
+    path = _Paths(text, ends, np.empty(int(ends[-1]), np.int32), np.empty(int(ends[-1]), np.int32), value)
+    for p in np.unique(head[0][head[2] > 0]):
+        mine = np.flatnonzero((head[0] == p) & (head[2] > 0))
+        source, target = _ranges(head[1][mine], head[2][mine]), _ranges(ends[:-1][mine], head[2][mine])
+        path.arc[target], path.word[target] = paths[p].arc[source], paths[p].word[source]
+    has = np.flatnonzero(more)
+    path.arc[ends[:-1][has] + head[2][has]], path.word[ends[:-1][has] + head[2][has]] = extra[has], word[has] - (inside[has] < 0)
+    target = _ranges(ends[:-1] + head[2] + more, tail)
+    path.arc[target], path.word[target] = arc, np.repeat(words, length)
+    paths.append(path)
+    # Open siblings along the tail: their truncated maxima, as far as they can be among the k best.
+    units = np.rint(lat.logp[arc] / UNIT).astype(np.int64)
+    total = np.cumsum(units) - units
+    before = base[whose] + (total - np.repeat(total[at[tail > 0]], tail[tail > 0])) * UNIT
+    loc = before + lat._rest.a[arc]
+
+    def drawn(i: np.ndarray) -> np.ndarray:
+        u = _uniform((seeds[text[whose[i]]] ^ _C) + np.uint64(turn) * _A + place[i].astype(np.uint64) * _B)
+        return _truncated(loc[i], value[whose[i]], u)
+
+    early = np.flatnonzero((place < EARLY) & (loc > -np.inf))
+    noise = drawn(early)
+    grid = np.full((len(text), max(EARLY, k)), -np.inf)
+    grid[whose[early], place[early]] = noise
+    floor = np.partition(grid, grid.shape[1] - k, axis=1)[:, grid.shape[1] - k]
+    late = np.flatnonzero((place >= EARLY) & (loc + MOST_NOISE > floor[whose]))
+    step, noise = np.concatenate([early, late]), np.concatenate([noise, drawn(late)])
+    order = np.lexsort((place[step], -noise, whose[step]))
+    step, noise = step[order], noise[order]
+    top = np.arange(len(step)) - np.searchsorted(whose[step], whose[step]) < k
+    step, noise = step[top], noise[top]
+    closed = np.full((len(step), k), -1, np.int32)
+    closed[:, 0] = arc[step]
+    front.push(text[whose[step]], noise, np.full(len(step), turn), (head[2] + more)[whose[step]] + place[step], before[step], closed)
+
+
+def _pop(lat, seeds, turn, front, paths) -> tuple:
+    """The best open node's best arc of every text that has one, for _grow; its other arcs go back to the frontier."""
+    text = np.flatnonzero(front.value.max(1) > -np.inf)
+    col = front.value[text].argmax(1)
+    value, path, step, before, closed = (x[text, col] for x in (front.value, front.path, front.step, front.before, front.closed))
+    front.value[text, col] = -np.inf
+    at, old, word = np.zeros(len(text), np.int64), np.zeros(len(text), np.int32), np.zeros(len(text), np.int64)
+    for p in np.unique(path):
+        mine = np.flatnonzero(path == p)
+        at[mine] = paths[p].at[np.searchsorted(paths[p].text, text[mine])]
+        old[mine], word[mine] = paths[p].arc[at[mine] + step[mine]], paths[p].word[at[mine] + step[mine]]
+    state = np.searchsorted(lat.arcs, old, "right") - 1  # that old leaves
+    lo, hi = lat.arcs[state].astype(np.int64), lat.arcs[state + 1].astype(np.int64)
+    every = lo[:, None] + np.arange(int((hi - lo).max(initial=1)))
+    ok = (every < hi[:, None]) & ~(every[:, :, None] == closed[:, None, :]).any(2)
+    logp = np.where(ok, lat.logp[np.minimum(every, hi[:, None] - 1)], -np.inf)
+    u, v = (_uniform((seeds[text] ^ _A) + np.uint64(2 * turn + i) * _C) for i in (0, 1))
+    p = np.exp(logp - logp.max(1, keepdims=True))
+    cum = np.cumsum(p, 1)
+    last = ok.shape[1] - 1 - ok[:, ::-1].argmax(1)
+    pick = np.minimum((cum <= (u * cum[:, -1])[:, None]).sum(1), last)
+    rows = np.arange(len(text))
+    arc = every[rows, pick].astype(np.int32)
+    here = logp[rows, pick].copy()
+    logp[rows, pick] = -np.inf
+    more = np.flatnonzero(logp.max(1, initial=-np.inf) > -np.inf)
+    peak = logp[more].max(1)
+    loc = before[more] + peak + np.log(np.exp(logp[more] - peak[:, None]).sum(1))
+    shut = closed[more]
+    shut[np.arange(len(more)), (shut >= 0).sum(1)] = arc[more]
+    front.push(text[more], _truncated(loc, value[more], v[more]), path[more], step[more], before[more], shut)
+    to = lat._to.a[arc]
+    return text, (path, at, step), arc, before + here, value, word + (to < 0), to
+
+
+@dataclass
+class Samples:
+    """The samples of a block, text by text and best first; sample i has the ids [ids_at[i], ids_at[i + 1])."""
+
+    text: np.ndarray
+    rank: np.ndarray
+    log_prob: np.ndarray
+    value: np.ndarray
+    log_inclusion: np.ndarray
+    ids: np.ndarray
+    ids_at: np.ndarray
+
+
+def sample_block(lat: Lattices, keys: np.ndarray, data: np.ndarray, offsets: np.ndarray, k: int, seed: int = 0) -> Samples:
+    """``keys``: an int64 of each text; ``data``, ``offsets``: its normalised texts (``Lattices.normal``)."""
+    with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+        return _sample_block(lat, keys, data, offsets, k, seed)
+
+
+def _sample_block(lat, keys, data, offsets, k, seed) -> Samples:
+    n = len(offsets) - 1
+    blank = data == 0x20
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1 : len(data)] = blank[1:] & ~blank[:-1]
+    cut[offsets] = True
+    cut = np.flatnonzero(cut)
+    starts, ends = cut[:-1], cut[1:]
+    if not len(data):
+        starts = ends = np.zeros(0, np.int64)
+    first, at = lat.states(data, starts, ends), np.searchsorted(starts, offsets)
+    seeds = mix(np.asarray(keys, np.int64).view(np.uint64) * _A + np.uint64(seed))
+    every, none = np.arange(n), np.zeros(n, np.int64)
+    front, paths = _Frontier(n, k), []
+    start = every, (none, none, none), np.full(n, -1, np.int32), np.zeros(n), -np.log(-np.log(_uniform(seeds ^ _B))), none, np.full(n, -1)
+    for turn in range(k):
+        _grow(lat, at, first, seeds, turn, k, *start, paths, front)
+        if turn + 1 < k:
+            start = _pop(lat, seeds, turn, front, paths)
+            if not len(start[0]):
+                break
+    # A full sample leaves the (k+1)-th value at the top of the frontier; an exhausted one has all there is.
+    limit = front.value.max(1, initial=-np.inf)
+    found = []
+    for rank, p in enumerate(paths):
+        logp = np.bincount(np.repeat(np.arange(len(p.text)), np.diff(p.at)), lat.logp[p.arc], minlength=len(p.text)).astype(float)
+        found.append((p.text, np.full(len(p.text), rank + 1), logp, p.value, _log_inclusion(logp - limit[p.text])))
+    text, rank, logp, value, inclusion = map(np.concatenate, zip(*found))
+    order = np.lexsort((rank, text))
+    size = np.concatenate([np.diff(p.at) for p in paths])
+    begin = np.concatenate([p.at[:-1] + o for p, o in zip(paths, np.cumsum([0, *(len(p.arc) for p in paths)]))])
+    arcs = np.concatenate([p.arc for p in paths])[_ranges(begin[order], size[order])]
+    ids, n_ids = lat.ids_of(arcs)
+    total = np.concatenate([[0], np.cumsum(n_ids, dtype=np.int64)])
+    return Samples(text[order], rank[order], logp[order], value[order], inclusion[order], ids, total[np.concatenate([[0], np.cumsum(size[order])])])
 
 
 def sample_texts(lat: Lattices, keys: list[int], found: list[str], k: int, seed: int = 0) -> list[list[tuple]]:
     """For each text its samples, best first: (ids, log_prob, perturbed value, log_inclusion, normalised text)."""
-    with np.errstate(over="ignore", divide="ignore"):
-        return _sample_texts(lat, keys, found, k, seed)
-
-
-def _sample_texts(lat: Lattices, keys: list[int], found: list[str], k: int, seed: int) -> list[list[tuple]]:
-    norm = [lat.sp.normalize(t) if t else "" for t in found]
-    words = [_SEGMENT.findall(t) for t in norm]
-    first = lat.states([w for ws in words for w in ws])
-    at = np.cumsum([0, *map(len, words)])
-    searches = [_Search(mix(np.array([key & (2**64 - 1)], np.uint64) * _A + np.uint64(seed))[0], first[a:b]) for key, a, b in zip(keys, at[:-1], at[1:])]
-    none = np.zeros(0, np.int64)
-    starts = [(none, none, 0.0, -math.log(-math.log(_uniform(np.array([s.seed ^ _B]))[0])), 0, -1) for s in searches]
-    live = searches
-    for turn in range(k):
-        if not live:
-            break
-        _grow(lat, live, starts, turn, k)
-        live = [s for s in live if s.heap]
-        if turn + 1 < k:
-            starts = [_pop(lat, s, turn) for s in live]
-    out = []
-    for s, text in zip(searches, norm):
-        # A full sample leaves the (k+1)-th value at the top of the frontier; an exhausted one has all there is.
-        limit = -s.heap[0][0] if s.heap else -math.inf
-        rows = []
-        for path, logp, value in s.found:
-            rows.append((lat.ids_of(path), logp, value, _log_inclusion(logp - limit), text))
-        out.append(rows)
+    data, offsets = lat.normal(*X.column_buffers(pa.array(found, pa.string())))
+    s = sample_block(lat, np.array(keys), data, offsets, k, seed)
+    out: list[list[tuple]] = [[] for _ in found]
+    for i, t in enumerate(s.text.tolist()):
+        normal = data[offsets[t] : offsets[t + 1]].tobytes().decode().replace(" ", BLANK)
+        out[t].append((s.ids[s.ids_at[i] : s.ids_at[i + 1]], float(s.log_prob[i]), float(s.value[i]), float(s.log_inclusion[i]), normal))
     return out
 
 
-def _log_inclusion(x: float) -> float:
+def _log_inclusion(x: np.ndarray) -> np.ndarray:
     """log(1 - exp(-exp(x)))."""
-    if x == math.inf or x > 700:
-        return 0.0
-    return x if x < -30 else math.log(-math.expm1(-math.exp(x)))
-
-
-def _batches(columns: tuple, size: int = BLOCK_CHARS):
-    keys, found, n = [], [], 0
-    for key, text in zip(*columns):
-        keys.append(key)
-        found.append(text or "")
-        n += len(found[-1])
-        if n >= size:
-            yield keys, found
-            keys, found, n = [], [], 0
-    if keys:
-        yield keys, found
+    return np.where(x > 700, 0.0, np.where(x < -30, x, np.log(-np.expm1(-np.exp(np.minimum(x, 700))))))
 
 
 def _sampled(docs: DataFrame, k: int, alpha: float, seed: int, model: str, fields: str, more) -> DataFrame:
-    """doc_id, sample, ``fields``, log_prob, perturbed, log_inclusion; more(lat, ids, text) gives the fields' values."""
+    """doc_id, sample, ``fields``, log_prob, perturbed, log_inclusion; more(lat, samples, data, offsets) gives the fields' columns."""
+    if k < 1:
+        raise ValueError("k is at least 1")
     names = ["doc_id", "sample", *(f.split()[0] for f in fields.split(", ")), "log_prob", "perturbed", "log_inclusion"]
 
     def run(batches):
         lat = lattices(model, alpha)
         for batch in batches:
-            for keys, found in _batches((batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                rows = [(key, i + 1, *more(lat, ids, text), *scores) for key, own in zip(keys, sample_texts(lat, [x or 0 for x in keys], found, k, seed)) for i, (ids, *scores, text) in enumerate(own)]
-                columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), *map(pa.array, columns[2:])], names)
+            ids = batch.column(0)
+            keys = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            for lo, hi, data, offsets in X.blocks(batch.column(1), BLOCK_BYTES):
+                data, offsets = lat.normal(data, offsets)
+                s = sample_block(lat, keys[lo:hi], data, offsets, k, seed)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(lo + s.text)), pa.array(s.rank.astype(np.int32)), *more(lat, s, data, offsets), pa.array(s.log_prob), pa.array(s.value), pa.array(s.log_inclusion)], names)
 
     return texts(docs).mapInArrow(run, f"doc_id long, sample int, {fields}, log_prob double, perturbed double, log_inclusion double")
 
 
 def sample(docs: DataFrame, k: int = 3, alpha: float = 0.5, seed: int = 0, model: str = MODEL) -> DataFrame:
     """doc_id, sample (from 1, best first), ids, log_prob, perturbed, log_inclusion."""
-    return _sampled(docs, k, alpha, seed, model, "ids array<int>", lambda lat, ids, text: (ids.astype(np.int32),))
+
+    def lists(lat, s, data, offsets):
+        return (pa.ListArray.from_arrays(pa.array(s.ids_at.astype(np.int32)), pa.array(s.ids.astype(np.int32))),)
+
+    return _sampled(docs, k, alpha, seed, model, "ids array<int>", lists)
 
 
 def sample_digests(docs: DataFrame, k: int = 3, alpha: float = 0.5, seed: int = 0, model: str = MODEL) -> DataFrame:
     """As ``sample``, but n_tokens, ids_crc32 (little-endian unsigned 32-bit ids) and decodes (to the normalised text) for ids."""
 
-    def digest(lat, ids, text):
-        return len(ids), zlib.crc32(ids.astype("<u4").tobytes()), lat.bytes_of(ids) == text.encode()
-
-    return _sampled(docs, k, alpha, seed, model, "n_tokens long, ids_crc32 long, decodes boolean", digest)
+    def digests(lat, s, data, offsets):
+        blob = memoryview(s.ids.astype("<u4").tobytes())
+        at = s.ids_at.tolist()
+        crc = [zlib.crc32(blob[4 * a : 4 * b]) for a, b in zip(at[:-1], at[1:])]
+        size = lat.raw_len[s.ids]
+        plain = memoryview(lat.raw[_ranges(lat.raw_at[s.ids], size)].tobytes())
+        total = np.concatenate([[0], np.cumsum(size)])[s.ids_at].tolist()
+        text, own = memoryview(data.tobytes()), offsets.tolist()
+        same = [plain[a:b] == text[own[t] : own[t + 1]] for a, b, t in zip(total[:-1], total[1:], s.text.tolist())]
+        return pa.array(np.diff(s.ids_at)), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())
+
+    return _sampled(docs, k, alpha, seed, model, "n_tokens long, ids_crc32 long, decodes boolean", digests)
 
 
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:

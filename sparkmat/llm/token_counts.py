@@ -1,11 +1,15 @@
 """Token counts by a map-side two-tier lookup.
 
 Tier one is a broadcast table of the corpus' most frequent pre-token lengths: every task keeps a bounded
-summary of its heaviest pre-tokens, the summaries meet in one small aggregate, and at most ``table_size``
-of them (a fixed bound, about 10 bytes each) are encoded once on the driver and broadcast. What misses it
-is encoded through a bounded cache in the worker. Texts and pre-tokens are never shuffled.
+summary of its heaviest pre-tokens, and at most ``table_size`` of them (a fixed bound, about 10 bytes each) are
+encoded once on the driver and broadcast. What misses it is encoded through a bounded cache in the worker.
 
-Null and empty texts count 0 bytes and 0 tokens; repeated rows are counted each; extra columns are ignored.
+Texts are never shuffled, nor are their pre-tokens. What is exchanged is the summaries: ``PER_TASK`` rows of a piece and
+its count from each task of the first pass, whatever the task read, summed by piece. That first pass reads all
+texts once more than the count itself does.
+
+Null and empty texts count 0 bytes and 0 tokens; invalid UTF-8 counts as replacement characters; repeated rows and
+rows without a doc_id are counted each; an empty table gives none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -59,7 +63,7 @@ def build_table(pieces: list[bytes], model: str) -> tuple[np.ndarray, np.ndarray
     """Sorted hashes and lengths of the pieces."""
     if not pieces:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint16)
-    n = np.array([len(x) for x in cache(model).coder.encode([p.decode() for p in pieces], [False] * len(pieces))], np.uint16)
+    n = np.array([len(x) for x in cache(model).coder.encode([p.decode("utf-8", "replace") for p in pieces], [False] * len(pieces))], np.uint16)
     data = np.frombuffer(b"".join(pieces), np.uint8)
     ends = np.cumsum([len(p) for p in pieces])
     h = X.span_hash(data, ends - [len(p) for p in pieces], ends)

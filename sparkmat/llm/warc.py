@@ -3,20 +3,25 @@
 ``write_archives`` writes one gzip archive (a member per record) per task to a folder that all machines
 share, and returns a manifest of the files that committed tasks wrote; a retried task writes another file.
 Of the records with equal payloads of ``LEAST_REVISIT`` bytes or more, the one with the smallest page_id
-is a response and the others are revisits, which carry the HTTP head but no payload.
+is a response and the others are revisits, which carry the HTTP head but no payload. Which digests repeat is
+found on (page_id, digest) alone; payloads stay where they are read as long as those digests are few enough
+to broadcast (their number is checked), else they are dealt by digest and ``SALTS`` so no digest fills a task.
 
 ``read_archives`` streams archives: payloads come as rows of record identifier and chunk number, of
 ``chunk_bytes`` at most, each with the running byte count and SHA-256 so far; the last row of a record has
 the digest of the whole payload. No payload is held whole while reading.
 
 A null html is an empty payload; a null url is left out of the record; rows that repeat a page_id are each
-written, as the same kind of record. Pages without a page_id are not written. Extra columns are ignored.
+written, as the same kind of record. Pages without a page_id are written too: as revisits where a page with an
+id has their payload, else as responses; they read back with a null page_id. Extra columns are ignored, whatever
+their names. A record's head may be of any length.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 import zlib
 
 import pyarrow as pa
@@ -28,31 +33,37 @@ from pyspark.sql import functions as F
 from sparkmat.llm._spark import new_path, stage
 
 LEAST_REVISIT, CHUNK_BYTES, READ_BYTES = 100, 1 << 20, 1 << 16
-_MOST_HEAD = 1 << 20
+#: Repeated digests that are broadcast at most (about 100 bytes each), and ways each is dealt beyond that.
+BROADCAST_DIGESTS, SALTS = 200_000, 32
 CHUNKS = "page_id long, chunk_number long, chunk_bytes long, payload_bytes long, payload_digest string, is_last boolean, record_type string, refers_to long, content binary"
 
 
 def record_types(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, payload_digest, refers_to (null for responses)."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("payload_digest", F.sha2("payload", 256))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("payload_digest", F.sha2("payload", 256))
     large = F.octet_length("payload") >= LEAST_REVISIT
-    # Only digests of several pages join; the rest, and small payloads, never match.
-    firsts = rows.where(large).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id")).where("first_id < last_id").select("payload_digest", "first_id")
-    key = F.when(large, F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.col("page_id").cast("string")))
-    joined = rows.withColumn("_key", key).join(firsts.withColumnRenamed("payload_digest", "_first_key"), F.col("_key") == F.col("_first_key"), "left")
-    return joined.select("page_id", "url", "payload", "payload_digest", F.when(F.col("first_id") < F.col("page_id"), F.col("first_id")).alias("refers_to"))
+    groups = rows.where(large).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    firsts = stage(groups.where("n > 1 and first_id is not null").select(F.col("payload_digest").alias("_digest"), "first_id"), "digests")
+    same = F.when(large, F.col("payload_digest")) == F.col("_digest")
+    if firsts.count() <= BROADCAST_DIGESTS:
+        joined = rows.join(F.broadcast(firsts), same, "left")
+    else:
+        dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+        joined = dealt.join(firsts.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), same & (F.col("_salt") == F.col("_of")), "left")
+    other = F.col("page_id").isNull() | (F.col("first_id") < F.col("page_id"))
+    return joined.select("page_id", "url", "payload", "payload_digest", F.when(other, F.col("first_id")).alias("refers_to"))
 
 
 def _head(lines: list[tuple[str, str]], first: str) -> bytes:
     return (first + "\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines) + "\r\n").encode()
 
 
-def _urn(page_id: int) -> str:
-    return f"<urn:page:{page_id}>"
+def _urn(page_id: int | None) -> str:
+    return f"<urn:page:{page_id}>" if page_id is not None else f"<urn:uuid:{uuid.uuid4()}>"
 
 
-def write_record(out, page_id: int, url: str | None, payload, digest: str, refers_to: int | None, date: str) -> int:
+def write_record(out, page_id: int | None, url: str | None, payload, digest: str, refers_to: int | None, date: str) -> int:
     """Write one record as a gzip member; the payload goes through the compressor in slices."""
     http = _head([("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(payload)))], "HTTP/1.1 200 OK")
     body = len(payload) if refers_to is None else 0
@@ -116,11 +127,16 @@ class _Member:
         return True
 
     def until(self, mark: bytes) -> bytes:
+        parts = []
         while (at := self.plain.find(mark)) < 0:
-            if len(self.plain) > _MOST_HEAD or not self._fill():
+            keep = max(len(self.plain) - len(mark) + 1, 0)  # the mark may begin at the end of what is here
+            parts.append(self.plain[:keep])
+            self.plain = self.plain[keep:]
+            if not self._fill():
                 raise ValueError("a record's head does not end")
-        out, self.plain = self.plain[:at], self.plain[at + len(mark) :]
-        return out
+        parts.append(self.plain[:at])
+        self.plain = self.plain[at + len(mark) :]
+        return b"".join(parts)
 
     def some(self, most: int) -> bytes:
         while not self.plain:
@@ -135,7 +151,7 @@ def _fields(head: bytes) -> dict[str, str]:
 
 
 def _page(urn: str | None) -> int | None:
-    return int(urn.removeprefix("<urn:page:").removesuffix(">")) if urn else None
+    return int(urn.removeprefix("<urn:page:").removesuffix(">")) if urn and urn.startswith("<urn:page:") else None
 
 
 def record_chunks(source, chunk_bytes: int = CHUNK_BYTES, content: bool = True):
