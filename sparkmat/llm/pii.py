@@ -154,7 +154,7 @@ def features(kind: str, x: Column) -> dict[str, Column]:
         "share": F.floor(F.length(_digits(m)) * 8 / size).cast("int"),
         "distinct": F.floor(F.size(F.array_distinct(F.split(F.left(F.lower(m), F.lit(64)), ""))) / 4).cast("int"),
         "before": F.lit(0) if kind == "secret" else _char_class(F.right(x["l"], F.lit(1))),
-        "after": _char_class(F.left(x["r"], F.lit(1))),
+        "after": F.lit(0) if kind == "secret" else _char_class(F.left(x["r"], F.lit(1))),
         "word": F.when(last == "", 0).when(F.regexp_like(last, F.lit("[:=>]")), 1).when(F.regexp_like(last, F.lit("[0-9]")), 2).when(F.regexp_like(end, F.lit(r"\p{L}{2}$")), 3).otherwise(4),
         "hint": F.regexp_like(x["l"], F.lit(_HINT[kind])).cast("int"),
     }
@@ -186,7 +186,8 @@ class Boosted:
 def _split(x, g, h, weight=1.0):
     """Best (gain, feature, threshold, left value, right value) of a stump on gradients."""
     value = lambda a, b: a / (b + weight)
-    best = (0.0, 0, float(x[:, 0].max(initial=0)), value(g.sum(), h.sum()), 0.0)
+    every = value(g.sum(), h.sum())
+    best = (0.0, 0, float(x[:, 0].max(initial=0)), every, every)  # no split: one value, whatever the feature
     whole = g.sum() ** 2 / (h.sum() + weight)
     for f in range(x.shape[1]):
         for t in np.unique(x[:, f])[:-1]:
