@@ -1,24 +1,29 @@
 """Decompositions of matrices (cell, gene, value): truncated SVD, kernel reduction, corrections, archetypes.
 
 The cell side stays distributed as (cell, vec); the gene side, at most ``MAX_GENES`` by components, is a small dense
-matrix of the driver. Products are joins and sums, so one pass over the entries is one shuffle with partial sums.
+matrix of the driver. For an SVD the entries are gathered by cell once (``Blocks``); after that a product with X'X
+is one pass without a shuffle of entries: each task multiplies its cells' block both ways and sends one gene side.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmat.operators.network import cut
+from sparkmat.operators.network import cut, drop
 
 #: The gene side is held by the driver and sent to all tasks: 200,000 genes by 40 components are 64 MB.
 MAX_GENES = 200_000
 ALGORITHMS = ("auto", "irlb", "halko", "feng", "primme")
+#: Up to this many genes X'X itself (32 MB) is gathered in one pass and decomposed exactly.
+GRAM_GENES = 2048
 
 
 @dataclass
@@ -78,22 +83,118 @@ def multiply(cells: DataFrame, m: np.ndarray) -> DataFrame:
     return cells.select("cell", F.array(*cols).alias("vec"))
 
 
+def _rows(column) -> np.ndarray:
+    """A matrix of an Arrow column of equally long lists."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
 def gram(cells: DataFrame, k: int) -> np.ndarray:
     """Sum of vec' vec: a block product for each partition, then sums of its k * k entries."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
         total = np.zeros((k, k))
-        for t in parts:
-            if len(t):
-                v = np.stack(t["vec"].to_numpy())
+        for batch in batches:
+            if batch.num_rows:
+                v = _rows(batch.column(0))
                 total += v.T @ v
-        yield pd.DataFrame({"at": np.arange(k * k), "v": total.ravel()})
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k)), pa.array(total.ravel())], ["at", "v"])
+
+    return _summed(cells.select("vec").mapInArrow(run, "at long, v double"), k * k).reshape(k, k)
+
+
+def _summed(parts: DataFrame, n: int) -> np.ndarray:
+    """Sums of (at, v) by place; what the driver gets is ``n`` rows."""
+    t = parts.groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(n)
+    out[t.column("at").to_numpy()] = t.column("v").to_numpy()
+    return out
 
-    rows = cells.select("vec").mapInPandas(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(k * k)
-    for r in rows:
-        out[r.at] = r.v
-    return out.reshape(k, k)
+
+class Blocks:
+    """A matrix gathered by cell: (cell, idx, val), written once, with genes numbered by ``names``."""
+
+    def __init__(self, x: DataFrame):
+        self.names, self.spark = gene_names(x), x.sparkSession
+        at = self.spark.createDataFrame(list(zip(self.names, range(len(self.names)))), "gene long, at int")
+        entry = F.struct("at", F.col("value").cast("double").alias("value"))
+        rows = x.join(F.broadcast(at), "gene").groupBy("cell").agg(F.collect_list(entry).alias("e"))
+        self.rows = cut(rows.select("cell", F.col("e.at").alias("idx"), F.col("e.value").alias("val")))
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return self.rows.count(), len(self.names)
+
+    @staticmethod
+    def _entries(batch: pa.RecordBatch, idx: int, val: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first row, end row, row of each entry, gene, value) of pieces of about 65,536 entries."""
+        size = batch.column(idx).value_lengths().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(size)
+        lo = 0
+        while lo < len(size):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 16), "right")))
+            i, v = (batch.column(c).slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False) for c in (idx, val))
+            yield lo, hi, np.repeat(np.arange(hi - lo), size[lo:hi]), i, v
+            lo = hi
+
+    @staticmethod
+    def _product(n: int, row: np.ndarray, i: np.ndarray, v: np.ndarray, q: np.ndarray) -> np.ndarray:
+        out = np.zeros((n, q.shape[1]))
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, int)
+        if len(first):
+            out[row[first]] = np.add.reduceat(v[:, None] * q[i], first, axis=0)
+        return out
+
+    def times(self, q: np.ndarray) -> DataFrame:
+        """X Q as (cell, vec)."""
+        shared, k = self.spark.sparkContext.broadcast(q), q.shape[1]
+
+        def run(batches):
+            q = shared.value
+            for batch in batches:
+                for lo, hi, row, i, v in Blocks._entries(batch, 1, 2):
+                    y = Blocks._product(hi - lo, row, i, v, q)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * k), pa.array(y.ravel()))], ["cell", "vec"])
+
+        return self.rows.mapInArrow(run, "cell long, vec array<double>")
+
+    def gram_times(self, q: np.ndarray) -> np.ndarray:
+        """X'X Q: one pass."""
+        shared, m, k = self.spark.sparkContext.broadcast(q), len(self.names), q.shape[1]
+
+        def run(batches):
+            q, total = shared.value, np.zeros((m, k))
+            for batch in batches:
+                for lo, hi, row, i, v in Blocks._entries(batch, 0, 1):
+                    y = Blocks._product(hi - lo, row, i, v, q)
+                    order = np.argsort(i, kind="stable")
+                    g = i[order]
+                    first = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, int)
+                    if len(first):
+                        total[g[first]] += np.add.reduceat(v[order, None] * y[row[order]], first, axis=0)
+            at = np.flatnonzero(total.any(1))
+            places = (at[:, None] * k + np.arange(k)).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(total[at].ravel())], ["at", "v"])
+
+        return _summed(self.rows.select("idx", "val").mapInArrow(run, "at long, v double"), m * k).reshape(m, k)
+
+    def gram(self) -> np.ndarray:
+        """X'X: one pass of dense block products."""
+        m = len(self.names)
+
+        def run(batches):
+            total = np.zeros((m, m))
+            for batch in batches:
+                for lo, hi, row, i, v in Blocks._entries(batch, 0, 1):
+                    for a in range(0, hi - lo, 512):
+                        mine = (row >= a) & (row < a + 512)
+                        dense = np.zeros((min(512, hi - lo - a), m))
+                        dense[row[mine] - a, i[mine]] = v[mine]
+                        total += dense.T @ dense
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["at", "v"])
+
+        return _summed(self.rows.select("idx", "val").mapInArrow(run, "at long, v double"), m * m).reshape(m, m)
 
 
 def signs(v: np.ndarray) -> np.ndarray:
@@ -101,24 +202,93 @@ def signs(v: np.ndarray) -> np.ndarray:
     return np.where(v[np.argmax(np.abs(v), 0), np.arange(v.shape[1])] < 0, -1.0, 1.0) if v.size else np.ones(v.shape[1])
 
 
-def run_svd(x: DataFrame, k: int = 30, algorithm: str = "auto", rounds: int = 7, seed: int = 0, extra: int = 10) -> Factors:
-    """Truncated SVD by subspace iteration of X'X with ``extra`` further columns; d falls, k is cut to the rank found.
-
-    The names of the algorithms all lead here: the four differ in speed on one machine and not in their result.
-    """
+def choose_algorithm(algorithm: str, n_genes: int) -> str:
+    """auto: the exact X'X while it is small (``GRAM_GENES``), else halko."""
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algorithm!r}")
-    names = gene_names(x)
-    width = min(k + extra, len(names))
-    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(names), width)))[0]
-    for _ in range(rounds if width else 0):
-        q = np.linalg.qr(transposed_times(x, names, times(x, names, q), width))[0]
-    y = times(x, names, q)
-    w, e = np.linalg.eigh(gram(y, width)) if width else (np.zeros(0), np.zeros((0, 0)))
+    if algorithm == "auto":
+        return "gram" if n_genes <= GRAM_GENES else "halko"
+    return algorithm
+
+
+def _lanczos(times, m: int, k: int, extra: int, rng, tolerance: float) -> np.ndarray:
+    """A basis from Lanczos steps on X'X with full orthogonalisation, until the k leading values settle."""
+    q, basis, images, last = rng.normal(size=m), [], [], None
+    for step in range(min(m, 4 * k + extra + 20)):
+        for _ in range(2):
+            for b in basis:
+                q = q - (b @ q) * b
+        norm = np.linalg.norm(q)
+        if norm < 1e-12:
+            break
+        basis.append(q / norm)
+        images.append(times(basis[-1][:, None])[:, 0])
+        q = images[-1]
+        if step >= k and step % 5 == 0:
+            now = np.linalg.eigvalsh(np.array(basis) @ np.array(images).T)[::-1][:k]
+            if last is not None and len(last) == len(now) and np.abs(now - last).max() <= tolerance * max(now[0], 1e-300):
+                break
+            last = now
+    return np.array(basis).T
+
+
+def _subspace(times, m: int, width: int, k: int, rng, rounds: int, tolerance: float) -> np.ndarray:
+    """A basis from subspace iteration on X'X, until the k leading values settle or ``rounds`` are done."""
+    q, last = np.linalg.qr(rng.normal(size=(m, width)))[0], None
+    for _ in range(rounds):
+        z = times(q)
+        now = np.linalg.eigvalsh(q.T @ z)[::-1][:k]
+        q = np.linalg.qr(z)[0]
+        if last is not None and np.abs(now - last).max(initial=0) <= tolerance * max(now.max(initial=0), 1e-300):
+            break
+        last = now
+    return q
+
+
+def run_svd(x: DataFrame, k: int = 30, algorithm: str = "auto", rounds: int = 30, seed: int = 0, extra: int = 10, tolerance: float = 1e-9) -> Factors:
+    """Truncated SVD; d falls, k is cut to the rank found, the largest entry of each gene vector is positive.
+
+    irlb and primme are Lanczos steps (one vector a pass), halko and feng a subspace with ``extra`` further columns
+    (fewer, wider passes; halko doubles the columns), each until the leading values settle to ``tolerance``;
+    auto is exact for few genes (``choose_algorithm``).
+    """
+    choose_algorithm(algorithm, 0)
+    blocks = Blocks(x)
+    names, m = blocks.names, len(blocks.names)
+    kind, rng = choose_algorithm(algorithm, m), np.random.default_rng(seed)
+    if not m:
+        return Factors(np.zeros((0, 0)), np.zeros(0), cut(blocks.times(np.zeros((0, 0)))), names)
+    if kind == "gram":
+        w, v = np.linalg.eigh(blocks.gram())
+    else:
+        if kind in ("irlb", "primme"):
+            q = _lanczos(blocks.gram_times, m, min(k, m), extra, rng, tolerance)
+        else:
+            q = _subspace(blocks.gram_times, m, min((2 if kind == "halko" else 1) * k + extra, m), min(k, m), rng, rounds, tolerance)
+        w, e = np.linalg.eigh((lambda z: (z + z.T) / 2)(q.T @ blocks.gram_times(q)))
+        v = q @ e
     order = [i for i in np.argsort(-w)[:k] if w[i] > max(w.max(), 0) * 1e-14]
-    d, v = np.sqrt(w[order]), q @ e[:, order]
+    d, v = np.sqrt(w[order]), v[:, order]
+    v = v * signs(v)
+    cells = cut(blocks.times(v / d))
+    drop(blocks.rows)
+    return Factors(v, d, cells, names)
+
+
+def run_svd_operator(operator, k: int = 30, rounds: int = 30, seed: int = 0, extra: int = 10, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u, d, v) of a user's operator with shape (cells, genes), matvec (X q) and rmatvec (X' y) of single vectors."""
+    for name in ("shape", "matvec", "rmatvec"):
+        if not hasattr(operator, name):
+            raise TypeError(f"an operator needs {name}")
+    n, m = operator.shape
+    forward = lambda q: np.stack([np.asarray(operator.matvec(c), float) for c in q.T], 1)
+    back = lambda y: np.stack([np.asarray(operator.rmatvec(c), float) for c in y.T], 1)
+    q = _subspace(lambda z: back(forward(z)), m, min(k + extra, m, n), min(k, m, n), np.random.default_rng(seed), rounds, tolerance)
+    u, d, wt = np.linalg.svd(forward(q), full_matrices=False)
+    keep = [i for i in range(min(k, len(d))) if d[i] > d[0] * 1e-14]
+    v = q @ wt[keep].T
     flip = signs(v)
-    return Factors(v * flip, d, cut(multiply(y, e[:, order] * flip / d)), names)
+    return u[:, keep] * flip, d[keep], v * flip
 
 
 def perturbed_svd(f: Factors, a: np.ndarray, b: DataFrame) -> Factors:
@@ -140,6 +310,18 @@ def perturbed_svd(f: Factors, a: np.ndarray, b: DataFrame) -> Factors:
     return Factors(genes * flip, d[:r], cut(multiply(both, (e[:, keep] / np.sqrt(w[keep])) @ vt[:r].T * flip)), f.names, a, b)
 
 
+def perturbed_svd_with_prior(f: Factors, a: np.ndarray, b: DataFrame, old_a: np.ndarray | None = None, old_b: DataFrame | None = None) -> Factors:
+    """``perturbed_svd`` of a factorisation that holds an earlier A B' already; the result keeps both side by side."""
+    out = perturbed_svd(f, a, b)
+    if old_a is None or not old_a.size:
+        return out
+    both = old_b.join(b.withColumnRenamed("vec", "more"), "cell", "full")
+    zero = lambda n: F.array(*_array([0.0] * n))
+    out.a = np.hstack([old_a, a])
+    out.b = cut(both.select("cell", F.concat(F.coalesce("vec", zero(old_a.shape[1])), F.coalesce("more", zero(a.shape[1]))).alias("vec")))
+    return out
+
+
 def reduce_kernel(x: DataFrame, k: int = 30, n_cells: int | None = None, **svd) -> Factors:
     """SVD of the matrix with its mean profile taken off every cell; ``reduction()`` is the reduced matrix."""
     return reduce_from_svd(x, run_svd(x, k, **svd), n_cells)
@@ -177,24 +359,31 @@ def _project_out(x: DataFrame, f: Factors, profile: np.ndarray) -> Factors:
     return perturbed_svd(f, -z, multiply(f.cells, f.d[:, None] * (f.genes.T @ z)))
 
 
-def smooth_kernel(f: Factors, g: DataFrame, alpha: float = 0.85, rounds: int = 5) -> DataFrame:
+def smooth_kernel(f: Factors, g: DataFrame, alpha: float = 0.85, rounds: int = 5, code: int = 0) -> DataFrame:
     """(cell, vec): the cells' factors without the correction, diffused over the graph, times d."""
+    return smoothed(f, g, alpha, rounds, code)[1]
+
+
+def smoothed(f: Factors, g: DataFrame, alpha: float = 0.85, rounds: int = 5, code: int = 0) -> tuple[Factors, DataFrame]:
+    """The factors without the correction, and their smoothed cells times d."""
     from sparkmat.operators.annotation import diffuse_columns
 
     base = perturbed_svd(f, -f.a, f.b) if f.a is not None else f
     long = base.cells.select(F.col("cell").alias("node"), F.posexplode("vec").alias("label", "value"))
-    x = diffuse_columns(g, long, alpha, rounds)
+    x = diffuse_columns(g, long, alpha, rounds, code)
     cols = [F.coalesce(F.sum(F.when(F.col("label") == i, F.col("value"))), F.lit(0.0)) for i in range(len(base.d))]
-    return scaled(x.groupBy(F.col("node").alias("cell")).agg(F.array(*cols).alias("vec")), base.d)
+    return base, scaled(x.groupBy(F.col("node").alias("cell")).agg(F.array(*cols).alias("vec")), base.d)
 
 
 def _map(cells: DataFrame, kernel) -> DataFrame:
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t in parts:
-            if len(t):
-                yield pd.DataFrame({"cell": t["cell"], "vec": list(kernel(np.stack(t["vec"].to_numpy())))})
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                out = np.ascontiguousarray(kernel(_rows(batch.column(1))), float)
+                at = pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(out.ravel()))], ["cell", "vec"])
 
-    return cells.select("cell", "vec").mapInPandas(run, "cell long, vec array<double>")
+    return cells.select("cell", "vec").mapInArrow(run, "cell long, vec array<double>")
 
 
 def run_spa(cells: DataFrame, k: int) -> list[tuple[int, float]]:
@@ -275,16 +464,49 @@ def archetypal_analysis(cells: DataFrame, w: np.ndarray, rounds: int = 20, toler
     return simplex_regression(cells, w), w, c
 
 
+@dataclass
+class Action:
+    """stacked (cell, k, comp, weight), its C (k, comp, cell, weight), archetypes by k; merged (cell, vec), its archetypes W and C."""
+
+    stacked: DataFrame
+    stacked_c: DataFrame
+    archetypes: dict[int, np.ndarray]
+    merged: DataFrame | None = None
+    merged_w: np.ndarray | None = None
+    merged_c: DataFrame | None = None
+
+    def assigned(self) -> DataFrame:
+        """(cell, vec, assigned): the first largest membership."""
+        return self.merged.withColumn("assigned", F.array_position("vec", F.array_max("vec")).cast("int") - 1)
+
+    def stacked_vectors(self) -> DataFrame:
+        """(cell, vec): memberships of all k side by side."""
+        order = F.array_sort(F.collect_list(F.struct("k", "comp", "weight")))
+        return self.stacked.groupBy("cell").agg(F.transform(order, lambda t: t["weight"]).alias("vec"))
+
+
+def fit_action(cells: DataFrame, k_min: int = 2, k_max: int = 30, rounds: int = 20, at_once: int = 4) -> Action:
+    """Archetypes for every number from ``k_min`` to ``k_max``; the fits are independent, ``at_once`` of them run side by side."""
+    spark = cells.sparkSession
+    first = run_spa(cells, k_max)
+    at = {r.cell: np.array(r.vec) for r in cells.where(F.col("cell").isin([c for c, _ in first])).collect()}
+
+    def fit(k: int):
+        h, w, c = archetypal_analysis(cells, np.array([at[c] for c, _ in first[:k]]), rounds)
+        return k, h.select("cell", F.lit(k).alias("k"), F.posexplode("vec").alias("comp", "weight")), w, c.select(F.lit(k).alias("k"), "comp", "cell", "weight")
+
+    with ThreadPoolExecutor(at_once) as pool:
+        fits = list(pool.map(fit, range(k_min, min(k_max, len(first)) + 1)))
+    h, c = spark.createDataFrame([], "cell long, k int, comp int, weight double"), spark.createDataFrame([], "k int, comp int, cell long, weight double")
+    for _, more, _, cells_of in fits:
+        h, c = h.unionByName(more), c.unionByName(cells_of)
+    return Action(h, c, {k: w for k, _, w, _ in fits})
+
+
 def decompose_action(cells: DataFrame, k_min: int = 2, k_max: int = 30, rounds: int = 20) -> tuple[DataFrame, dict[int, np.ndarray]]:
     """Memberships for every number of archetypes, stacked as (cell, k, comp, weight), and the archetypes by k."""
-    first, out, found = run_spa(cells, k_max), None, {}
-    at = {r.cell: np.array(r.vec) for r in cells.where(F.col("cell").isin([c for c, _ in first])).collect()}
-    for k in range(k_min, min(k_max, len(first)) + 1):
-        h, w, _ = archetypal_analysis(cells, np.array([at[c] for c, _ in first[:k]]), rounds)
-        found[k] = w
-        part = h.select("cell", F.lit(k).alias("k"), F.posexplode("vec").alias("comp", "weight"))
-        out = part if out is None else out.unionByName(part)
-    return (out if out is not None else cells.sparkSession.createDataFrame([], "cell long, k int, comp int, weight double")), found
+    found = fit_action(cells, k_min, k_max, rounds)
+    return found.stacked, found.archetypes
 
 
 def collect_archetypes(h: DataFrame, threshold: float = -3.0, min_observations: int = 3) -> DataFrame:
@@ -297,21 +519,39 @@ def collect_archetypes(h: DataFrame, threshold: float = -3.0, min_observations:
     return mass.crossJoin(F.broadcast(stats)).where(z >= threshold).join(used, ["k", "comp"]).select("k", "comp")
 
 
-def merge_archetypes(cells: DataFrame, archetypes: dict[int, np.ndarray], kept: DataFrame, cosine: float = 0.98) -> tuple[DataFrame, np.ndarray]:
-    """Memberships (cell, vec) of the representatives: kept archetypes, but not one within ``cosine`` of an earlier one."""
+def _merged(archetypes: dict[int, np.ndarray], kept: DataFrame, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     rows: list[np.ndarray] = []
+    names: list[tuple[int, int]] = []
     for r in kept.orderBy("k", "comp").collect():
         v = archetypes[r.k][r.comp]
         if all(v @ w < cosine * np.linalg.norm(v) * np.linalg.norm(w) for w in rows):
             rows.append(v)
-    w = np.array(rows)
+            names.append((r.k, r.comp))
+    return np.array(rows), names
+
+
+def merge_archetypes(cells: DataFrame, archetypes: dict[int, np.ndarray], kept: DataFrame, cosine: float = 0.98) -> tuple[DataFrame, np.ndarray]:
+    """Memberships (cell, vec) of the representatives: kept archetypes, but not one within ``cosine`` of an earlier one."""
+    w, _ = _merged(archetypes, kept, cosine)
     return simplex_regression(cells, w), w
 
 
+def action(cells: DataFrame, k_min: int = 2, k_max: int = 30, rounds: int = 20, threshold: float = -3.0, min_observations: int = 2, prenormalize: bool = True) -> Action:
+    """Archetypes of rows scaled to absolute sum 1 for every k, collected and merged."""
+    x = cells
+    if prenormalize:
+        total = F.aggregate("vec", F.lit(0.0), lambda s, v: s + F.abs(v))
+        x = cells.withColumn("t", total).select("cell", F.transform("vec", lambda v: v / F.when(F.col("t") > 0, F.col("t")).otherwise(1.0)).alias("vec"))
+    x = cut(x.select("cell", "vec"))
+    found = fit_action(x, k_min, k_max, rounds)
+    found.stacked = cut(found.stacked)
+    w, names = _merged(found.archetypes, collect_archetypes(found.stacked, threshold, min_observations), 0.98)
+    chosen = cells.sparkSession.createDataFrame([(k, c, i) for i, (k, c) in enumerate(names)], "k int, comp int, merged int")
+    found.merged, found.merged_w = cut(simplex_regression(x, w)), w
+    found.merged_c = found.stacked_c.join(F.broadcast(chosen), ["k", "comp"]).select(F.col("merged").alias("comp"), "cell", "weight")
+    return found
+
+
 def run_action(cells: DataFrame, k_min: int = 2, k_max: int = 30, rounds: int = 20, threshold: float = -3.0, min_observations: int = 2) -> DataFrame:
     """(cell, vec, assigned): merged memberships of rows scaled to absolute sum 1, and the first largest one."""
-    total = F.aggregate("vec", F.lit(0.0), lambda s, v: s + F.abs(v))
-    x = cut(cells.withColumn("t", total).select("cell", F.transform("vec", lambda v: v / F.when(F.col("t") > 0, F.col("t")).otherwise(1.0)).alias("vec")))
-    h, found = decompose_action(x, k_min, k_max, rounds)
-    merged, _ = merge_archetypes(x, found, collect_archetypes(cut(h), threshold, min_observations))
-    return merged.withColumn("assigned", F.array_position("vec", F.array_max("vec")).cast("int") - 1)
+    return action(cells, k_min, k_max, rounds, threshold, min_observations).assigned()

@@ -33,7 +33,7 @@ def label_enrichment(g: DataFrame, scores: DataFrame, n_nodes: int) -> DataFrame
     mean = scores.groupBy("label").agg((F.sum("value") / n_nodes).alias("p"))
     rows = g.groupBy("src").agg(F.sum("weight").alias("w1"), F.sum(F.col("weight") * F.col("weight")).alias("w2"), F.max("weight").alias("a"))
     obs = g.join(scores, g["dst"] == scores["node"]).groupBy("src", "label").agg(F.sum(F.col("weight") * F.col("value")).alias("obs"))
-    t = obs.join(rows, "src").join(F.broadcast(mean), "label")
+    t = obs.join(rows, "src").join(mean, "label")
     lam = F.col("obs") - F.col("w1") * F.col("p")
     den = 2 * (F.col("w2") * F.col("p") + lam * F.col("a") / 3)
     return t.select("src", "label", F.when((lam > 0) & (den > 0), lam * lam / den).otherwise(0.0).alias("score"))
@@ -46,3 +46,56 @@ def autocorrelation(g: DataFrame, scores: DataFrame) -> DataFrame:
     e = g.join(a, "src").join(b, "dst").join(F.broadcast(m))
     u, v, w = F.col("u") - F.col("m"), F.col("v") - F.col("m"), F.col("weight")
     return e.agg((F.first("n") * F.sum(w * u * v) / (F.sum(w) * F.first("ss"))).alias("moran"), ((F.first("n") - 1) * F.sum(w * (u - v) * (u - v)) / (2 * F.sum(w) * F.first("ss"))).alias("geary"))
+
+
+def permuted_autocorrelation(g: DataFrame, scores: DataFrame, permutations: int = 30, seed: int = 0) -> DataFrame:
+    """(statistic, value, z, mu, sigma) of Moran's I and Geary's C: values dealt anew to the nodes give the null.
+
+    A permutation deals the i-th value by one seeded hash order to the i-th node by another, so it is a join of
+    two numberings; all of them run as one plan.
+    """
+    from sparkmat.operators.network import cut, numbered
+
+    base = cut(scores.select("node", "value"))
+    rounds = None
+    for i in range(permutations):
+        nodes = numbered(base.select("node"), F.xxhash64("node", F.lit(2 * i + seed)), F.col("node"))
+        values = numbered(base, F.xxhash64("node", F.lit(2 * i + 1 + seed)), F.col("node")).select("slot", "value")
+        one = nodes.join(values, "slot").select(F.lit(i).alias("i"), "node", "value")
+        rounds = one if rounds is None else rounds.unionByName(one)
+    null = _statistics(g, cut(rounds)) if rounds is not None else None
+    seen = _statistics(g, base.select(F.lit(-1).alias("i"), "node", "value"))
+    long = lambda t: t.select("i", F.explode(F.array(*(F.struct(F.lit(c).alias("statistic"), F.col(c).alias("value")) for c in ("moran", "geary")))).alias("s")).select("i", "s.*")
+    out = long(seen).drop("i")
+    if null is None:
+        return out.select("statistic", "value", *(F.lit(None).cast("double").alias(c) for c in ("z", "mu", "sigma")))
+    stats = long(null).groupBy("statistic").agg(F.avg("value").alias("mu"), F.stddev_samp("value").alias("sigma"))
+    return out.join(stats, "statistic").select("statistic", "value", F.when(F.col("sigma") > 0, (F.col("value") - F.col("mu")) / F.col("sigma")).alias("z"), "mu", "sigma")
+
+
+def _statistics(g: DataFrame, scores: DataFrame) -> DataFrame:
+    """(i, moran, geary) of (i, node, value)."""
+    m = scores.groupBy("i").agg(F.avg("value").alias("m"), F.count(F.lit(1)).alias("n"), (F.sum(F.col("value") * F.col("value")) - F.sum("value") * F.sum("value") / F.count(F.lit(1))).alias("ss"))
+    a, b = scores.select("i", F.col("node").alias("src"), F.col("value").alias("u")), scores.select("i", F.col("node").alias("dst"), F.col("value").alias("v"))
+    e = g.join(a, "src").join(b, ["i", "dst"]).join(m, "i")
+    u, v, w = F.col("u") - F.col("m"), F.col("v") - F.col("m"), F.col("weight")
+    return e.groupBy("i").agg((F.first("n") * F.sum(w * u * v) / (F.sum(w) * F.first("ss"))).alias("moran"), ((F.first("n") - 1) * F.sum(w * (u - v) * (u - v)) / (2 * F.sum(w) * F.first("ss"))).alias("geary"))
+
+
+def diffuse_chebyshev(g: DataFrame, scores: DataFrame, alpha: float = 0.85, terms: int = 5, code: int = 2) -> DataFrame:
+    """(1 - alpha) (I - alpha P)^-1 of (node, value) by a Chebyshev series of ``terms`` terms; tiny negatives of non-negative scores are 0."""
+    if not alpha:
+        return scores
+    root = (1 - alpha * alpha) ** 0.5
+    beta, lead = (1 - root) / alpha, (1 - alpha) / root
+    p = normalize_graph(g, code)
+    step = lambda x: p.join(x, p["dst"] == x["node"]).groupBy(F.col("src").alias("node")).agg(F.sum(F.col("weight") * F.col("value")).alias("m"))
+    start = scores.select("node", "value")
+    old, now = start, start.join(step(start), "node", "left").select("node", F.coalesce("m", F.lit(0.0)).alias("value"))
+    total = start.join(now.withColumnRenamed("value", "t"), "node").select("node", (lead * (F.col("value") + 2 * beta * F.col("t"))).alias("value"))
+    for k in range(2, terms + 1):
+        moved = now.join(step(now), "node", "left").join(old.withColumnRenamed("value", "o"), "node")
+        old, now = now, moved.select("node", (2 * F.coalesce("m", F.lit(0.0)) - F.col("o")).alias("value"))
+        total = total.join(now.withColumnRenamed("value", "t"), "node").select("node", (F.col("value") + lead * 2 * beta**k * F.col("t")).alias("value"))
+    low = scores.agg(F.min("value").alias("low"))
+    return total.crossJoin(F.broadcast(low)).select("node", F.when((F.col("low") >= 0) & (F.col("value") < 0), 0.0).otherwise(F.col("value")).alias("value"))

@@ -2,31 +2,56 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkmat.operators.network import cut, drop
 
 
-def filter_masks(x: DataFrame, min_cells: int = 0, min_genes: int = 0, min_total: float = 0, max_total: float | None = None) -> DataFrame:
-    """Rows and columns are judged together on the same submatrix, again and again until nothing goes.
+def filter_stats(x: DataFrame, obs: DataFrame, var: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cell, total, n_genes) and (gene, n_cells) of the whole axes, 0 where nothing is stored."""
+    cells = x.groupBy("cell").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n_genes"))
+    genes = x.groupBy("gene").agg(F.count(F.lit(1)).alias("n_cells"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return obs.select("cell").join(cells, "cell", "left").select("cell", zero("total"), zero("n_genes")), var.select("gene").join(genes, "gene", "left").select("gene", zero("n_cells"))
+
 
-    A round writes only the cells and genes that stay, so plans stay short and the disk holds ``x`` once.
+def filter_axes(x: DataFrame, obs: DataFrame, var: DataFrame, min_cells: float | None = None, min_genes: int | None = None, min_total: float | None = None, max_total: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """The (cell) and (gene) that stay when both are judged together on the same submatrix, again and again until nothing goes.
+
+    ``min_cells`` in (0, 1) is a share of the cells that are left, rounded up; None and 0 judge nothing. A round writes
+    only the cells and genes that stay, so plans stay short and the disk holds ``x`` once.
     """
-    x = now = cut(x)
-    size, before = None, []
+    x, cells, genes = cut(x), cut(obs.select("cell")), cut(var.select("gene"))
+    size = cells.count(), genes.count()
     while True:
-        cells = now.groupBy("cell").agg(F.sum("value").alias("t"), F.count(F.lit(1)).alias("n")).where((F.col("t") >= min_total) & (F.col("n") >= min_genes))
-        if max_total is not None:
-            cells = cells.where(F.col("t") <= max_total)
-        genes = now.groupBy("gene").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_cells)
-        kept = [cut(cells.select("cell")), cut(genes.select("gene"))]
-        drop(*before)
-        now = x.join(kept[0], "cell", "left_semi").join(kept[1], "gene", "left_semi")
-        left = now.count()
-        if left == size:
-            return now
-        size, before = left, kept
+        now = x.join(cells, "cell", "left_semi").join(genes, "gene", "left_semi")
+        by_cell, by_gene = filter_stats(now, cells, genes)
+        for value, judged in ((min_total, F.col("total") >= F.lit(min_total)), (max_total, F.col("total") <= F.lit(max_total)), (min_genes, F.col("n_genes") >= F.lit(min_genes))):
+            by_cell = by_cell.where(judged) if value else by_cell
+        if min_cells:
+            by_gene = by_gene.where(F.col("n_cells") >= (math.ceil(min_cells * size[0]) if 0 < min_cells < 1 else min_cells))
+        kept = cut(by_cell.select("cell")), cut(by_gene.select("gene"))
+        drop(cells, genes)
+        cells, genes = kept
+        before, size = size, (cells.count(), genes.count())
+        if size == before:
+            return cells, genes
+
+
+def mask_table(axis: DataFrame, kept: DataFrame, key: str) -> DataFrame:
+    """``axis`` with ``keep``: whether the key is among ``kept``."""
+    return axis.join(kept.select(key).withColumn("keep", F.lit(True)), key, "left").withColumn("keep", F.coalesce("keep", F.lit(False)))
+
+
+def filter_masks(x: DataFrame, min_cells: float = 0, min_genes: int = 0, min_total: float = 0, max_total: float | None = None) -> DataFrame:
+    """``x`` on the axes that ``filter_axes`` keeps of those with entries."""
+    cells, genes = filter_axes(x, x.select("cell").distinct(), x.select("gene").distinct(), min_cells, min_genes, min_total, max_total)
+    return x.join(cells, "cell", "left_semi").join(genes, "gene", "left_semi")
 
 
 def row_total(x: DataFrame, axis: str = "cell") -> Column:
@@ -44,15 +69,123 @@ def lp_normalize(x: DataFrame, p: float = 1, axis: str = "cell") -> DataFrame:
     return x.withColumn("value", F.when(norm > 0, F.col("value") / norm).otherwise(F.col("value")))
 
 
-def standardize(x: DataFrame, n_cells: int) -> DataFrame:
-    """Column statistics (ddof 1, implicit zeros counted, deviation 0 -> 1) and the stored entries' z-scores."""
-    s, q = F.sum("value").over(Window.partitionBy("gene")), F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("gene"))
-    sd = F.sqrt(F.greatest((q - s * s / n_cells) / (n_cells - 1), F.lit(0.0)))
-    return x.withColumn("value", (F.col("value") - s / n_cells) / F.when(sd > 0, sd).otherwise(1.0))
+def column_scores(x: DataFrame, n_cells: int, center: bool = True, scale: bool = True) -> DataFrame:
+    """(gene, mean, sd): what ``standardize`` takes off and divides by (ddof 1, implicit zeros counted, deviation 0 -> 1)."""
+    s, q = F.sum("value"), F.sum(F.col("value") * F.col("value"))
+    sd = F.sqrt(F.greatest((q - s * s / n_cells) / max(n_cells - 1, 1), F.lit(0.0)))
+    return x.groupBy("gene").agg((s / n_cells if center else F.lit(0.0)).alias("mean"), (F.when(sd > 0, sd).otherwise(1.0) if scale else F.lit(1.0)).alias("sd"))
 
 
-def matrix_sums(x: DataFrame, axis: str) -> DataFrame:
-    return x.groupBy(axis).agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("nnz"))
+#: Genes of a dense row: ``standardize`` holds their means and deviations in every task (16 bytes each).
+MOST_GENES = 200_000
+
+
+def standardize(x: DataFrame, cells: DataFrame, center: bool = True, scale: bool = True) -> DataFrame:
+    """z-scores of every cell and every gene with entries, implicit zeros included: (cell, gene, value), dense.
+
+    Only the stored entries are shuffled, to their cell; rows are filled where they are.
+    """
+    spark, n = x.sparkSession, cells.count()
+    stats = column_scores(x, n, center, scale).orderBy("gene").limit(MOST_GENES + 1).toPandas()
+    if len(stats) > MOST_GENES:
+        raise ValueError(f"more than {MOST_GENES} genes")
+    shared = spark.sparkContext.broadcast(tuple(stats[c].to_numpy() for c in ("gene", "mean", "sd")))
+
+    def run(batches):
+        genes, mean, sd = shared.value
+        zero = -mean / sd
+        for batch in batches:
+            for i in range(0, batch.num_rows, max(1, (1 << 20) // max(len(genes), 1))):
+                part = batch.slice(i, max(1, (1 << 20) // max(len(genes), 1)))
+                entries = part.column(1)
+                dense = np.tile(zero, (part.num_rows, 1))
+                flat = entries.flatten()
+                row = np.repeat(np.arange(part.num_rows), entries.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                at = np.searchsorted(genes, flat.field("gene").to_numpy(zero_copy_only=False))
+                dense[row, at] = (flat.field("value").to_numpy(zero_copy_only=False) - mean[at]) / sd[at]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), len(genes)))), pa.array(np.tile(genes, part.num_rows)), pa.array(dense.ravel())], ["cell", "gene", "value"])
+
+    rows = x.groupBy("cell").agg(F.collect_list(F.struct("gene", F.col("value").cast("double").alias("value"))).alias("entries"))
+    every = cells.select(F.col("cell").cast("long").alias("cell")).join(rows, "cell", "left")
+    return every.mapInArrow(run, "cell long, gene long, value double")
+
+
+def matrix_sums(x: DataFrame, axis: str | None, every: DataFrame | None = None) -> DataFrame:
+    """(axis, total, nnz) of cells or genes, or one row for axis None; ``every``, the axis' table, keeps those without entries."""
+    total, nnz = F.sum("value").alias("total"), F.count(F.lit(1)).alias("nnz")
+    if axis is None:
+        return x.agg(F.coalesce(F.sum("value"), F.lit(0)).alias("total"), nnz)
+    found = x.groupBy(axis).agg(total, nnz)
+    if every is None:
+        return found
+    return every.select(axis).join(found, axis, "left").select(axis, F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("nnz", F.lit(0)).alias("nnz"))
+
+
+def restricted_sums(x: DataFrame, axis: str, cells: DataFrame | None = None, genes: DataFrame | None = None) -> DataFrame:
+    """(axis, total, nnz, sum_sq) over the given cells and genes only; a listed member of the axis without entries has 0."""
+    for keep, key in ((cells, "cell"), (genes, "gene")):
+        x = x if keep is None else x.join(keep.select(key).distinct(), key, "left_semi")
+    found = x.groupBy(axis).agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("nnz"), F.sum(F.col("value") * F.col("value")).alias("sum_sq"))
+    listed = cells if axis == "cell" else genes
+    if listed is None:
+        return found
+    return listed.select(axis).distinct().join(found, axis, "left").select(axis, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "nnz", "sum_sq")))
+
+
+def global_min(x: DataFrame, n_cells: int, n_genes: int) -> DataFrame:
+    """One row: the least value, implicit zeros among them unless every entry is stored; none or not finite gives 0."""
+    least = F.min("value").cast("double")
+    full = F.count(F.lit(1)) >= n_cells * n_genes
+    value = F.when(full, least).otherwise(F.least(least, F.lit(0.0)))
+    return x.agg(value.alias("m")).select(F.when(F.col("m").isNotNull() & ~F.isnan("m") & (F.abs("m") != float("inf")), F.col("m")).otherwise(0.0).alias("global_min"))
+
+
+def row_chunks(x: DataFrame, start: int, end: int, genes: DataFrame | None = None) -> DataFrame:
+    """Cells in [start, end), of the given genes where any are given; the range reaches the scan."""
+    x = x.where((F.col("cell") >= start) & (F.col("cell") < end))
+    return x if genes is None else x.join(genes.select("gene").distinct(), "gene", "left_semi")
+
+
+def subset(x: DataFrame, index: list[int], n: int, axis: str = "cell") -> DataFrame:
+    """``take`` by positions 0 .. n - 1, order and repeats kept; an empty list or a position outside is an error."""
+    if not index:
+        raise ValueError("no position is given")
+    if min(index) < 0 or max(index) >= n:
+        raise IndexError(f"positions run from 0 to {n - 1}")
+    rows = x.sparkSession.createDataFrame(list(enumerate(index)), f"pos long, {axis} long")
+    return take(x, rows, axis)
+
+
+def apply_rowwise(x: DataFrame, function, cells: DataFrame, n_genes: int, block: int = 4096) -> DataFrame:
+    """A user's function(block, first cell, number of cells) on dense blocks of at most ``block`` cells; zeros are not stored again.
+
+    Cells meet in blocks by id, so a block is the same whatever the partitioning.
+    """
+
+    def run(key, table):
+        cells = np.unique(table.column("cell").to_numpy())
+        dense = np.zeros((len(cells), n_genes))
+        some = table.filter(table.column("gene").is_valid())
+        dense[np.searchsorted(cells, some.column("cell").to_numpy()), some.column("gene").to_numpy()] = some.column("value").to_numpy()
+        out = np.asarray(function(dense, int(cells[0]), len(cells)), float)
+        i, j = np.nonzero(out)
+        return pa.table({"cell": cells[i], "gene": j.astype(np.int64), "value": out[i, j]})
+
+    every = cells.select("cell").join(x, "cell", "left").select("cell", "gene", F.col("value").cast("double").alias("value"))
+    return every.groupBy(F.floor(F.col("cell") / block).alias("block")).applyInArrow(run, "cell long, gene long, value double")
+
+
+def feature_abundance(x: DataFrame, features: DataFrame, cells: DataFrame, metric: str = "fraction", nonzero: bool = False, groups: DataFrame | None = None) -> DataFrame:
+    """(cell, metric[, grp]) of every cell: the sum (or the number over 0) of (gene) ``features``, a gene listed twice counting twice."""
+    if metric not in ("counts", "fraction", "percent", "ratio"):
+        raise ValueError(f"unknown metric {metric!r}")
+    amount = F.when(F.col("value") > 0, 1.0).otherwise(0.0) if nonzero else F.col("value").cast("double")
+    times = features.groupBy("gene").agg(F.count(F.lit(1)).alias("times"))
+    sums = x.join(times, "gene", "left").groupBy("cell").agg(F.sum(amount * F.coalesce("times", F.lit(0))).alias("part"), F.sum(amount).alias("total"))
+    part, total = F.coalesce("part", F.lit(0.0)), F.coalesce("total", F.lit(0.0))
+    value = {"counts": part, "fraction": F.when(total > 0, part / total).otherwise(0.0), "percent": F.when(total > 0, 100 * part / total).otherwise(0.0), "ratio": F.when(total - part > 0, part / (total - part))}[metric]
+    out = cells.select("cell").join(sums, "cell", "left").select("cell", value.alias(metric))
+    return out if groups is None else out.join(groups, "cell")
 
 
 def aggregate(x: DataFrame, groups: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from sparkmat.operators import graph as G
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` under ``spark.checkpoint.dir`` (a temporary folder only where that is unset) and read it again.
+    """Write ``df`` under ``spark.checkpoint.dir`` (a temporary folder only in local mode where that is unset) and read it again.
 
     A checkpoint would keep the size estimate of the plan it replaces, which a loop of joins multiplies without end;
     a table read again has its true size.
@@ -26,6 +26,8 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sparkmat-"))
         root = spark.sparkContext.getCheckpointDir()
     path = f"{root.rstrip('/')}/state-{uuid.uuid4().hex}"
@@ -42,6 +44,21 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(df: DataFrame, *order: Column | str, name: str = "slot") -> DataFrame:
+    """``df`` with its rows' places, from 0, in that order: ranges are sorted apart and offset by the sizes before them."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut(ranged.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = sorted((r["_p"], r["n"]) for r in placed.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect())  # a row a partition
+    before = np.cumsum([0, *(n for _, n in sizes)]).tolist()
+    offsets = df.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(sizes, before)], "_p int, _b long")
+    return placed.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
+
+
+def undirected(g: DataFrame) -> DataFrame:
+    """Each edge of a symmetric graph once, loops kept."""
+    return g.where("src <= dst")
+
+
 def _unit(a: np.ndarray, metric: str) -> np.ndarray:
     if metric == "jsd":
         return a / np.maximum(np.abs(a).sum(1, keepdims=True), 1e-300)
@@ -118,7 +135,7 @@ def knn_network(vectors: DataFrame, k: int = 10, metric: str = "l2", mutual: boo
 
 def kstar_weights(d: DataFrame, density: float = 1.0) -> DataFrame:
     """Adaptive neighbours of (src, dst, distance): the shortest prefix where lambda_k <= beta_(k+1), weights lambda - beta."""
-    w = Window.partitionBy("src").orderBy("distance", "dst")
+    w = Window.partitionBy("src").orderBy(F.round("distance", 12), "dst")  # as neighbours ranks them
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     t = d.withColumn("beta", F.col("distance") * density).withColumn("k", F.row_number().over(w))
     t = t.withColumn("s", F.sum("beta").over(run)).withColumn("q", F.sum(F.col("beta") * F.col("beta")).over(run)).withColumn("next", F.lead("beta").over(w))
@@ -259,33 +276,63 @@ def cluster(g: DataFrame, resolution: float = 1.0, objective: str = "modularity"
     return at
 
 
-def layout(g: DataFrame, start: DataFrame, epochs: int = 30, rate: float = 1.0, negatives: int = 5, a: float = 0.583, b: float = 1.334, seed: int = 0) -> DataFrame:
-    """(node, x, y) by synchronous epochs of attraction along edges and repulsion from hashed other nodes.
+#: method -> curve (a, b), repulsion's strength and its least squared distance; a node's own factor comes in with leopold.
+LAYOUTS = {"umap": (0.583, 1.334, 1.0, 0.001), "tumap": (1.0, 1.0, 1.0, 0.001), "largevis": (1.0, 1.0, 7.0, 0.1), "leopold": (1.0, 1.0, 1.0, 0.001), "leopold2": (1.0, 1.0, 1.0, 0.001)}
+
+
+def layout(g: DataFrame, start: DataFrame, epochs: int = 30, rate: float = 1.0, negatives: int = 5, a: float | None = None, b: float | None = None, seed: int = 0, method: str = "umap", factors: DataFrame | None = None) -> DataFrame:
+    """(node, coordinates) by synchronous epochs of attraction along edges and repulsion from hashed other nodes.
 
     Every node draws ``negatives`` partners an epoch by position of a hash ring, so repulsion is a join and never
-    all pairs. ``start`` is (node, x, y); a step is clipped to 4 as usual.
+    all pairs. ``start`` is (node, one column a dimension); a step is clipped to 4 as usual. leopold and leopold2
+    scale squared distances by ``factors`` (node, ai[, aj]): by the node's own, or by the root of both nodes'.
     """
+    if method not in LAYOUTS:
+        raise ValueError(f"unknown method {method!r}")
+    needs = {"leopold": ["ai"], "leopold2": ["ai", "aj"]}.get(method, [])
+    if needs and (factors is None or not set(needs) <= set(factors.columns)):
+        raise ValueError(f"{method} needs {' and '.join(needs)}")
+    given_a, given_b, strength, least = LAYOUTS[method]
+    a, b = given_a if a is None else a, given_b if b is None else b
     clip = lambda c: F.greatest(F.lit(-4.0), F.least(F.lit(4.0), c))
+    dims = [c for c in start.columns if c != "node"]
     n = start.count()
-    ids = cut(start.select("node", (F.row_number().over(Window.orderBy("node")) - 1).alias("slot"))) if n else None
+    ids = numbered(start.select("node"), "node") if n else None
     x = start
     top = g.agg(F.max("weight")).first()[0] or 1.0
+    one = F.lit(1.0)
+    left_of = {"leopold": "ai", "leopold2": "ai"}.get(method)
     for epoch in range(epochs if n > 1 else 0):
         step = rate * (1 - epoch / epochs)
-        p, q = x.select(F.col("node").alias("src"), F.col("x").alias("x1"), F.col("y").alias("y1")), x.select(F.col("node").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-        dx, dy = F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2")
-        d2 = dx * dx + dy * dy
-        pull = F.when(d2 > 0, -2 * a * b * F.pow(d2, F.lit(b - 1)) / (1 + a * F.pow(d2, F.lit(b)))).otherwise(0.0) * F.col("weight") / top
-        near = g.where("src <> dst").join(p, "src").join(q, "dst").select("src", clip(pull * dx).alias("fx"), clip(pull * dy).alias("fy"))
+        y = x.join(factors, "node") if needs else x
+        p = y.select(F.col("node").alias("src"), *(F.col(c).alias(f"{c}_1") for c in dims), (F.col(left_of) if left_of else one).alias("f1"))
+        q = y.select(F.col("node").alias("dst"), *(F.col(c).alias(f"{c}_2") for c in dims), (F.col("aj") if method == "leopold2" else one).alias("f2"))
+        apart = {c: F.col(f"{c}_1") - F.col(f"{c}_2") for c in dims}
+        k = F.sqrt(F.col("f1") * F.col("f2")) if method == "leopold2" else F.col("f1")
+        d2 = sum((v * v for v in apart.values()), F.lit(0.0))
+        curve = a * k * F.pow(d2, F.lit(b))
+        pull = F.when(d2 > 0, -2 * a * b * k * F.pow(d2, F.lit(b - 1)) / (1 + curve)).otherwise(0.0) * F.col("weight") / top
+        near = g.where("src <> dst").join(p, "src").join(q, "dst").select("src", *(clip(pull * v).alias(c) for c, v in apart.items()))
         draws = ids.select(F.col("node").alias("src"), F.explode(F.array(*(F.pmod(F.xxhash64("node", F.lit(seed), F.lit(epoch), F.lit(i)), F.lit(n)) for i in range(negatives)))).alias("slot"))
-        push = 2 * b / ((0.001 + d2) * (1 + a * F.pow(d2, F.lit(b)))) / negatives
-        far = draws.join(ids.withColumnRenamed("node", "dst"), "slot").where("src <> dst").join(p, "src").join(q, "dst").select("src", clip(push * dx).alias("fx"), clip(push * dy).alias("fy"))
-        force = near.unionByName(far).groupBy(F.col("src").alias("node")).agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
-        x = x.join(force, "node", "left").select("node", (F.col("x") + step * clip(F.coalesce("fx", F.lit(0.0)))).alias("x"), (F.col("y") + step * clip(F.coalesce("fy", F.lit(0.0)))).alias("y"))
-        x = cut(x)
+        push = 2 * strength * b / ((least + d2) * (1 + curve)) / negatives
+        far = draws.join(ids.withColumnRenamed("node", "dst"), "slot").where("src <> dst").join(p, "src").join(q, "dst").select("src", *(clip(push * v).alias(c) for c, v in apart.items()))
+        force = near.unionByName(far).groupBy(F.col("src").alias("node")).agg(*(F.sum(c).alias(f"_{c}") for c in dims))
+        after = cut(x.join(force, "node", "left").select("node", *((F.col(c) + step * clip(F.coalesce(F.col(f"_{c}"), F.lit(0.0)))).alias(c) for c in dims)))
+        if epoch:
+            drop(x)
+        x = after
     return x
 
 
+def standard_start(vectors: DataFrame, dims: int = 2) -> DataFrame:
+    """(node, x, y[, z ...]): the first ``dims`` components of (cell, vec) less their mean over their deviation (ddof 0)."""
+    names = [*"xyz", *(f"x{i}" for i in range(3, dims))][:dims]
+    wide = vectors.select(F.col("cell").alias("node"), *(F.get("vec", F.lit(i)).alias(c) for i, c in enumerate(names)))
+    stats = wide.agg(*(f(c).alias(f"{c}_{k}") for c in names for k, f in (("m", F.avg), ("s", F.stddev_pop))))
+    unit = {c: F.when(F.col(f"{c}_s") > 0, (F.col(c) - F.col(f"{c}_m")) / F.col(f"{c}_s")).otherwise(0.0) for c in names}
+    return wide.crossJoin(F.broadcast(stats)).select("node", *(v.alias(c) for c, v in unit.items()))
+
+
 def _gamma(c: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(c <= 0.0031308, 12.92 * c).otherwise(1.055 * F.pow(F.greatest(c, F.lit(0.0)), F.lit(1 / 2.4)) - 0.055)))
 
@@ -305,9 +352,24 @@ def node_colors(coords: DataFrame) -> DataFrame:
     return t.select("node", *(_gamma(v).alias(c) for c, v in zip("rgb", linear)))
 
 
+def embedding_colors(vectors: DataFrame) -> DataFrame:
+    """(node, r, g, b) of (cell, vec) with three components or more: ``node_colors`` of their three leading principal axes."""
+    from sparkmat.operators.decomposition import gram, multiply, signs
+
+    width = len(vectors.first().vec)
+    if width < 3:
+        raise ValueError("colours need three components or more")
+    mean = np.array(vectors.agg(F.array(*(F.avg(F.col("vec")[i]) for i in range(width))).alias("m")).first().m)
+    centred = vectors.select("cell", F.zip_with("vec", F.array(*map(F.lit, mean.tolist())), lambda x, m: x - m).alias("vec"))
+    w, e = np.linalg.eigh(gram(centred, width))
+    axes = e[:, np.argsort(-w)[:3]]
+    t = multiply(centred, axes * signs(axes))
+    return node_colors(t.select(F.col("cell").alias("node"), *(F.col("vec")[i].alias(c) for i, c in enumerate("abc"))))
+
+
 def match_by_rank(u: DataFrame, v: DataFrame, u_least: float = 0, v_least: float = 0) -> DataFrame:
     """Matching for rank-one weights of (id, value): the i-th largest of u with the i-th largest of v, over the limits."""
-    rank = lambda t, name, least: t.where(F.col("value") > least).select(F.col("id").alias(name), F.row_number().over(Window.orderBy(F.desc("value"), "id")).alias("rank"))
+    rank = lambda t, name, least: numbered(t.where(F.col("value") > least), F.desc("value"), F.asc("id"), name="rank").select(F.col("id").alias(name), (F.col("rank") + 1).alias("rank"))
     return rank(u, "u", u_least).join(rank(v, "v", v_least), "rank").select("u", "v", F.col("rank").cast("long").alias("rank"))
 
 

@@ -13,7 +13,7 @@ from sparkmat.operators import matrix as M
 from sparkmat.operators import mixture as U
 from sparkmat.operators import network as N
 from sparkmat.operators import plotdata as P
-from sparkmat.plans.tables import CELLS, EDGES, MATRIX, edges, groups, matrix, table, whole_graph
+from sparkmat.plans.tables import CELLS, EDGES, MATRIX, groups, matrix, table, whole_graph
 
 _ND = NormalDist()
 
@@ -53,16 +53,17 @@ def _archetype_profile(s):
 
 
 def _diffused(rounds: int, alpha: float) -> str:
-    """The columns of genes 1, 2 and 3, cells taken modulo 40 as nodes, symmetric normalisation."""
-    parts = [MATRIX, EDGES, "X0 AS (SELECT cell % 40 AS node, gene AS label, sum(value) AS value FROM X WHERE gene IN (1, 2, 3) GROUP BY 1, 2)", "P AS (SELECT src, dst, weight / sqrt(sum(weight) OVER (PARTITION BY src) * sum(weight) OVER (PARTITION BY dst)) AS weight FROM G)"]
+    """The columns of genes 1, 2 and 3, cells as the graph's suppliers, symmetric normalisation."""
+    parts = [MATRIX, EDGES, "X0 AS (SELECT 2 * cell AS node, gene AS label, value FROM X WHERE gene IN (1, 2, 3))", "P AS (SELECT src, dst, weight / sqrt(sum(weight) OVER (PARTITION BY src) * sum(weight) OVER (PARTITION BY dst)) AS weight FROM G)"]
     for i in range(rounds):
         parts.append(f"X{i + 1} AS (SELECT node, label, {alpha} * coalesce(m, 0) + {1 - alpha} * coalesce(X0.value, 0) AS value FROM X0 FULL JOIN (SELECT src AS node, label, sum(weight * value) AS m FROM P JOIN X{i} ON dst = node GROUP BY 1, 2) USING (node, label))")
-    return f"WITH {', '.join(parts)} SELECT node AS cell, label AS gene, round(value, 6) AS value FROM X{rounds}"
+    parts += [f"TOP AS (SELECT label, max(value) AS hi FROM X{rounds} GROUP BY 1)", "WAS AS (SELECT label, max(value) AS was FROM X0 GROUP BY 1)"]
+    return f"WITH {', '.join(parts)} SELECT node AS cell, label AS gene, round(greatest(value * CASE WHEN hi > 0 THEN was / hi ELSE 1 END, 0), 6) AS value FROM X{rounds} JOIN TOP USING (label) JOIN WAS USING (label)"
 
 
 def _impute_diffusion(s, d):
-    x = matrix(s, d).groupBy((F.col("cell") % 40).alias("cell"), "gene").agg(F.sum("value").alias("value"))
-    return A.impute_diffusion(x, [1, 2, 3], edges(s, d), 0.85, 3)
+    x = matrix(s, d).withColumn("cell", 2 * F.col("cell"))
+    return A.impute_diffusion(x, [1, 2, 3], whole_graph(s, d), 0.85, 3)
 
 
 def _vectors(s, d):
@@ -72,7 +73,7 @@ def _vectors(s, d):
 _NN = """V AS (SELECT vec_id AS cell, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), U AS (SELECT cell, v, sqrt(list_inner_product(v, v)) AS n FROM V),
     ND AS (SELECT a.cell AS src, b.cell AS dst, 1 - list_inner_product(a.v, b.v) / (a.n * b.n) AS distance FROM U a JOIN U b ON a.cell <> b.cell),
     NK AS (SELECT * FROM ND QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(distance, 12), dst) <= 10)"""
-_KSTAR = f"""WITH {_NN}, B AS (SELECT *, row_number() OVER w AS k, sum(distance) OVER (w ROWS UNBOUNDED PRECEDING) AS s, sum(distance * distance) OVER (w ROWS UNBOUNDED PRECEDING) AS q, lead(distance) OVER w AS nx FROM NK WINDOW w AS (PARTITION BY src ORDER BY distance, dst)),
+_KSTAR = f"""WITH {_NN.replace("<= 10", "<= (SELECT floor(5 * sqrt(count(*))) FROM V)")}, B AS (SELECT *, row_number() OVER w AS k, sum(distance) OVER (w ROWS UNBOUNDED PRECEDING) AS s, sum(distance * distance) OVER (w ROWS UNBOUNDED PRECEDING) AS q, lead(distance) OVER w AS nx FROM NK WINDOW w AS (PARTITION BY src ORDER BY round(distance, 12), dst)),
     L AS (SELECT *, (s + sqrt(greatest(k + s * s - k * q, 0))) / k AS lam FROM B), ST AS (SELECT src, k AS ks, lam AS ls FROM L WHERE nx IS NULL OR lam <= nx QUALIFY row_number() OVER (PARTITION BY src ORDER BY k) = 1),
     W AS (SELECT src, dst, greatest(ls - distance, 0) AS w FROM L JOIN ST USING (src) WHERE k <= ks) SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 6) AS weight FROM W"""
 
@@ -121,10 +122,6 @@ def _reduced(s, d, f):
     return f.reduction().select("cell", F.posexplode("vec").alias("comp", "value"))
 
 
-def _spa(s, d):
-    return s.createDataFrame([(i, c, n) for i, (c, n) in enumerate(D.run_spa(_vectors(s, d), 6))], "rank int, cell long, norm double")
-
-
 #: name -> (query, oracle or None)
 ALL = {
     "encode_markers": (
@@ -140,22 +137,13 @@ ALL = {
     "archetype_specificity": (lambda s, d: A.archetype_specificity(matrix(s, d), _members(s, d), groups(s, d).count(), 50), _ARCH),
     "impute_archetypes": (lambda s, d: A.impute_archetypes(_members(s, d), _archetype_profile(s)), f"WITH {CELLS}, {_H}, Z AS (SELECT i % 3 AS comp, i // 3 AS gene, i % 11 - 4 AS value FROM range(150) t(i)) SELECT cell, gene, round(CAST(greatest(sum(weight * value), 0) AS DOUBLE), 6) AS value FROM H JOIN Z USING (comp) GROUP BY 1, 2"),
     "impute_diffusion": (_impute_diffusion, _diffused(3, 0.85)),
-    "xicor": (
-        lambda s, d: A.xicor(table(s, d, "orders").select(F.col("o_orderpriority").alias("grp"), F.col("o_totalprice").alias("x"), F.col("o_custkey").alias("y"), F.col("o_orderkey").alias("pos"))),
-        "WITH R AS (SELECT o_orderpriority AS grp, o_totalprice AS x, o_orderkey AS pos, count(*) OVER (PARTITION BY o_orderpriority ORDER BY o_custkey RANGE UNBOUNDED PRECEDING) AS r, count(*) OVER (PARTITION BY o_orderpriority ORDER BY o_custkey DESC RANGE UNBOUNDED PRECEDING) AS l, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders), D AS (SELECT *, abs(r - lag(r) OVER (PARTITION BY grp ORDER BY x, pos)) AS d FROM R) SELECT grp, round(1 - max(n) * sum(d) / (2 * sum(l * (n - l))), 6) AS xi FROM D GROUP BY grp",
-    ),
     "nearest_neighbours_exact": (lambda s, d: N.neighbours(_vectors(s, d), 10, "ip"), f"WITH {_NN} SELECT src, dst, round(distance, 6) AS distance FROM NK"),
     "build_network_knn": (lambda s, d: N.knn_network(_vectors(s, d), 10, "ip"), f"WITH {_NN}, W AS (SELECT src, dst, 1 - distance / max(distance) OVER () AS w FROM NK) SELECT a.src, a.dst, round(sqrt(a.w * b.w), 6) AS weight FROM W a JOIN W b ON a.src = b.dst AND a.dst = b.src"),
-    "build_network_kstar": (lambda s, d: N.kstar_weights(N.neighbours(_vectors(s, d), 10, "ip")), _KSTAR),
-    "pagerank": (lambda s, d: N.pagerank(edges(s, d)), _pagerank_sql(5, 0.9)),
-    "local_pagerank": (lambda s, d: N.local_pagerank(g := whole_graph(s, d), _labels(g)), None),
-    "coreness": (lambda s, d: N.coreness(whole_graph(s, d)), None),
-    "local_coreness": (lambda s, d: N.local_coreness(g := whole_graph(s, d), _labels(g)), None),
-    "label_propagation": (lambda s, d: N.propagate_labels(g := whole_graph(s, d), _labels(g)), None),
+    "build_network_kstar": (lambda s, d: N.kstar_network(_vectors(s, d), metric="ip", mutual=False), _KSTAR),
+    "pagerank": (lambda s, d: N.pagerank(whole_graph(s, d)), _pagerank_sql(5, 0.9)),
     "cluster_network": (lambda s, d: N.cluster(N.knn_network(_vectors(s, d), 10, "ip")), None),
-    "modularity": (lambda s, d: N.modularity(g := edges(s, d), _labels(g)), f"WITH {EDGES}, T AS (SELECT sum(weight) AS t FROM G), K AS (SELECT sum(k * k) AS kk FROM (SELECT src % 3 AS l, sum(weight) AS k FROM G GROUP BY 1)) SELECT round((SELECT sum(weight) FROM G WHERE src % 3 = dst % 3) / t - kk / t / t, 6) AS modularity FROM T, K"),
+    "modularity": (lambda s, d: N.modularity(g := whole_graph(s, d), _labels(g)), f"WITH {EDGES}, T AS (SELECT sum(weight) AS t FROM G), K AS (SELECT sum(k * k) AS kk FROM (SELECT src % 3 AS l, sum(weight) AS k FROM G GROUP BY 1)) SELECT round((SELECT sum(weight) FROM G WHERE src % 3 = dst % 3) / t - kk / t / t, 6) AS modularity FROM T, K"),
     "layout_network": (lambda s, d: N.layout(g := whole_graph(s, d), N.nodes(g).select("node", (F.col("node") % 7).cast("double").alias("x"), (F.col("node") % 5).cast("double").alias("y")), 10), None),
-    "node_colors": (lambda s, d: N.node_colors(_vectors(s, d).select(F.col("cell").alias("node"), *(F.col("vec")[i].alias(c) for i, c in enumerate("abc")))), None),
     "match_by_rank": (
         lambda s, d: N.match_by_rank(table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("value")), table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"))),
         "SELECT u, v, rank FROM (SELECT s_suppkey AS u, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier WHERE s_acctbal > 0) JOIN (SELECT c_custkey AS v, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer WHERE c_acctbal > 0) USING (rank)",
@@ -173,7 +161,6 @@ ALL = {
     "reduce_kernel": (lambda s, d: _reduced(s, d, D.reduce_kernel(matrix(s, d), 5)), None),
     "correct_batch_effect": (lambda s, d: _reduced(s, d, D.correct_batch(x := matrix(s, d), D.reduce_kernel(x, 5), groups(s, d).select("cell", (F.col("grp") % 3).alias("batch")))), None),
     "correct_basal_expression": (lambda s, d: _reduced(s, d, D.correct_basal(x := matrix(s, d), D.reduce_kernel(x, 5), [1, 2, 3])), None),
-    "run_spa": (_spa, None),
     "run_action": (lambda s, d: D.run_action(_vectors(s, d), 2, 4, 5).select("cell", "assigned", F.array_max("vec").alias("weight")), None),
     "label_positions": (lambda s, d: P.label_positions(_points(s, d)), "SELECT p_brand AS label, CAST(median(p_size) AS DOUBLE) AS x, round(median(p_retailprice), 6) AS y FROM part GROUP BY 1"),
     "transparency": (
@@ -186,7 +173,6 @@ ALL = {
         lambda s, d: P.box_statistics(_events(s, d)),
         "WITH Q AS (SELECT event_type AS grp, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1), I AS (SELECT Q.*, value, value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS i FROM events JOIN Q ON grp = event_type) SELECT grp, round(q1, 6) AS q1, round(q2, 6) AS q2, round(q3, 6) AS q3, round(min(value) FILTER (i), 6) AS low, round(max(value) FILTER (i), 6) AS high, count(*) FILTER (NOT i) AS n_out FROM I GROUP BY ALL",
     ),
-    "violin": (lambda s, d: P.violin(_events(s, d)), None),
     "log_and_raw": (lambda s, d: matrix(s, d).select("cell", "gene", X.log_of(F.col("value"), "log10").alias("log"), X.to_raw(X.log_of(F.col("value"), "log10")).alias("raw")), f"WITH {MATRIX} SELECT cell, gene, round(log10(CASE WHEN value = 0 THEN 1 ELSE value END), 6) AS log, round(pow(10, log10(CASE WHEN value = 0 THEN 1 ELSE value END)) - 1, 6) AS raw FROM X"),
     "aggregate_annotated": (
         lambda s, d: M.aggregate_annotated(matrix(s, d), groups(s, d).select("cell", (F.col("grp") % 2).alias("half"), (F.col("cell") % 2).alias("odd")), ["half", "odd"], 2),

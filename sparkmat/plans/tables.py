@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 MATRIX = "X AS (SELECT l_suppkey AS cell, l_partkey % 50 AS gene, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2)"
 CELLS = "C AS (SELECT s_suppkey AS cell, s_nationkey AS grp FROM supplier)"
-EDGES = "E0 AS (SELECT l_suppkey % 40 AS a, l_partkey % 40 AS b FROM lineitem WHERE l_suppkey % 40 <> l_partkey % 40 AND l_orderkey % 5 = 0), G AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM (SELECT a AS src, b AS dst FROM E0 UNION ALL SELECT b, a FROM E0) GROUP BY 1, 2)"
+EDGES = "E0 AS (SELECT 2 * l_suppkey AS a, 2 * l_partkey + 1 AS b, CAST(count(*) AS DOUBLE) AS w FROM lineitem GROUP BY 1, 2), G AS (SELECT a AS src, b AS dst, w AS weight FROM E0 UNION ALL SELECT b, a, w FROM E0)"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -22,11 +22,6 @@ def groups(spark, sf):
     return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("cell"), F.col("s_nationkey").alias("grp"))
 
 
-def edges(spark, sf):
-    e = table(spark, sf, "lineitem").where("l_orderkey % 5 = 0").select((F.col("l_suppkey") % 40).alias("src"), (F.col("l_partkey") % 40).alias("dst")).where("src <> dst")
-    return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-
-
 def whole_graph(spark, sf):
     """Suppliers (2 x key) and parts (2 x key + 1), an edge each way weighted by the line items that join them; no row or key is left out or folded."""
     e = table(spark, sf, "lineitem").groupBy((2 * F.col("l_suppkey")).alias("src"), (2 * F.col("l_partkey") + 1).alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
