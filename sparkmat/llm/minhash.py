@@ -273,10 +273,16 @@ def residual_pairs(members: DataFrame, comp: DataFrame, sets: DataFrame, percent
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document; sets link at ``percent`` hundredths of their union or more."""
     found = stage(profile(docs), "profile")
+    sizes = stage(found.select("doc_id", "n_shingles"), "sizes")
     rows = found.where("n_shingles > 0 and doc_id is not null")
     some = rows.groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "n_shingles", "signature")).alias("s")).select("doc_id", "s.*")
-    same = some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    classed = stage(some.join(same, ["d1", "d2", "n_shingles"]).select("doc_id", "rep", "signature"), "classes")
+    some = stage(some, "documents")
+    unstage(found)
+    # Only sets that several documents have are looked up: no task gathers a set's copies while those sets are few.
+    same = some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    same = stage(same, "copies")
+    classed = stage(some.join(bounded(same), ["d1", "d2", "n_shingles"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "signature"), "classes")
+    unstage(some)
     classes = classed.where("doc_id = rep").select("rep", "signature")
     keys = keyed(classes)
     many = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("key", "pivot")
@@ -293,7 +299,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     comp = stage(components(links.unionByName(more)), "components")
     unstage(links, more)
     labelled = classed.select("doc_id", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    out = found.select("doc_id", "n_shingles").join(labelled, "doc_id", "left")
+    out = sizes.join(labelled, "doc_id", "left")
     own = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
