@@ -179,9 +179,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     whole = met.where("sure").select("doc", run(position, count))
     once = met.where("not sure")
     groups = once.groupBy("seed").agg(F.min("span").alias("lo"), F.max("span").alias("hi"), F.min(F.struct("doc", "place", "span")).alias("head"))
-    marked = stage(once.join(groups, "seed").select("doc", "place", (F.struct("doc", "place") == F.struct("head.doc", "head.place")).alias("first"), (F.col("span") == F.col("head.span")).alias("same"), (F.col("lo") < F.col("hi")).alias("open")), "marked")
+    groups = stage(groups, "groups")  # written, so that Spark can split a seed that many documents have where it joins
+    marked = stage(once.join(bounded(groups), "seed").select("doc", "place", (F.struct("doc", "place") == F.struct("head.doc", "head.place")).alias("first"), (F.col("span") == F.col("head.span")).alias("same"), (F.col("lo") < F.col("hi")).alias("open")), "marked")
     whole = stage(whole.unionByName(marked.where("same and not first").select("doc", run(position, count))), "whole")
-    unstage(met)
+    unstage(met, groups)
     unsettled = stage(marked.where("open and (first or not same)").groupBy("doc").agg(F.collect_list("place").alias("places")), "unsettled")
     unstage(marked)
     some = docs.select("_key", "text").join(bounded(unsettled.select(F.col("doc").alias("_key"))), "_key", "left_semi")
