@@ -86,16 +86,24 @@ def diffuse_chebyshev(g: DataFrame, scores: DataFrame, alpha: float = 0.85, term
     """(1 - alpha) (I - alpha P)^-1 of (node, value) by a Chebyshev series of ``terms`` terms; tiny negatives of non-negative scores are 0."""
     if not alpha:
         return scores
+    from sparkmat.operators.network import cut
+
     root = (1 - alpha * alpha) ** 0.5
     beta, lead = (1 - root) / alpha, (1 - alpha) / root
-    p = normalize_graph(g, code)
-    step = lambda x: p.join(x, p["dst"] == x["node"]).groupBy(F.col("src").alias("node")).agg(F.sum(F.col("weight") * F.col("value")).alias("m"))
-    start = scores.select("node", "value")
-    old, now = start, start.join(step(start), "node", "left").select("node", F.coalesce("m", F.lit(0.0)).alias("value"))
-    total = start.join(now.withColumnRenamed("value", "t"), "node").select("node", (lead * (F.col("value") + 2 * beta * F.col("t"))).alias("value"))
+    p = cut(normalize_graph(g, code))
+    moved = lambda x: p.join(x, p["dst"] == x["node"]).groupBy(F.col("src").alias("node")).agg(F.sum(F.col("weight") * F.col("value")).alias("m"))
+    old = cut(scores.select("node", "value"))
+    now = cut(old.select("node").join(moved(old), "node", "left").select("node", F.coalesce("m", F.lit(0.0)).alias("value")))
+    # Every term reads the two before it, so each is written once; the sum reads them all.
+    parts = [(lead, old), (2 * lead * beta, now)]
     for k in range(2, terms + 1):
-        moved = now.join(step(now), "node", "left").join(old.withColumnRenamed("value", "o"), "node")
-        old, now = now, moved.select("node", (2 * F.coalesce("m", F.lit(0.0)) - F.col("o")).alias("value"))
-        total = total.join(now.withColumnRenamed("value", "t"), "node").select("node", (F.col("value") + lead * 2 * beta**k * F.col("t")).alias("value"))
+        back = old.withColumnRenamed("value", "o")
+        old, now = now, cut(back.join(moved(now), "node", "left").select("node", (2 * F.coalesce("m", F.lit(0.0)) - F.col("o")).alias("value")))
+        parts.append((2 * lead * beta**k, now))
+    total = None
+    for c, t in parts:
+        t = t.select("node", (F.col("value") * c).alias("value"))
+        total = t if total is None else total.unionByName(t)
+    total = total.groupBy("node").agg(F.sum("value").alias("value"))
     low = scores.agg(F.min("value").alias("low"))
     return total.crossJoin(F.broadcast(low)).select("node", F.when((F.col("low") >= 0) & (F.col("value") < 0), 0.0).otherwise(F.col("value")).alias("value"))
