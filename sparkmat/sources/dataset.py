@@ -1,7 +1,7 @@
 """A dataset: a folder of Parquet tables named like obs, var, X, layers/counts, obsm/action, obsp/network, and its notes.
 
-Tables are replaced by writing a new version and then moving the pointer file, so readers never see half a table
-and a lost writer leaves the old one in place.
+Tables are replaced by writing a new version and then an index of the next number, moved into place whole; readers
+take the index of the largest number, so they never see half a table and a lost writer leaves the old one in place.
 """
 
 from __future__ import annotations
@@ -25,7 +25,14 @@ class Dataset:
         self.waiting: dict[str, DataFrame] = {}
         self._fs_path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._fs_path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self.index: dict = json.loads(self._read("index.json") or '{"tables": {}, "uns": {}}')
+        self.number = max(self._numbers(), default=0)
+        self.index: dict = json.loads(self._read(f"index-{self.number}.json") or '{"tables": {}, "uns": {}}')
+
+    def _numbers(self) -> list[int]:
+        """Numbers of the indexes in place."""
+        folder = self._fs_path(self.path)
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return [int(n[6:-5]) for n in names if n.startswith("index-") and n.endswith(".json")]
 
     def _read(self, name: str) -> str | None:
         p = self._fs_path(f"{self.path}/{name}")
@@ -34,13 +41,18 @@ class Dataset:
         return "\n".join(r.value for r in self.spark.read.option("wholetext", True).text(f"{self.path}/{name}").collect())
 
     def _commit(self) -> None:
-        temp, to = self._fs_path(f"{self.path}/index-{uuid.uuid4().hex}"), self._fs_path(f"{self.path}/index.json")
+        """The next index; another writer that took its number is an error, and the index of this one stays as it was."""
+        temp, to = self._fs_path(f"{self.path}/_index-{uuid.uuid4().hex}"), self._fs_path(f"{self.path}/index-{self.number + 1}.json")
         out = self._fs.create(temp, True)
         out.write(bytearray(json.dumps(self.index, sort_keys=True).encode()))
         out.close()
-        if self._fs.exists(to):
-            self._fs.delete(to, False)
-        self._fs.rename(temp, to)
+        if self._fs.exists(to) or not self._fs.rename(temp, to):
+            self._fs.delete(temp, False)
+            raise RuntimeError("another writer has changed the dataset")
+        self.number += 1
+        for old in self._numbers():
+            if old < self.number - 1:  # readers may still hold the last one
+                self._fs.delete(self._fs_path(f"{self.path}/index-{old}.json"), False)
 
     def names(self) -> list[str]:
         return sorted({*self.index["tables"], *self.waiting})
@@ -76,9 +88,35 @@ class Dataset:
         self._commit()
         return done
 
-    def materialize(self, path: str, cells: DataFrame | None = None, genes: DataFrame | None = None) -> "Dataset":
-        """A standalone copy in ``path``, of the given cells and genes only; nothing left is an error."""
-        out = Dataset(self.spark, path, auto_persist=False)
+    def compact(self, names: list[str] | None = None, file_bytes: int = 256 << 20, codec: str | None = None) -> None:
+        """Rewrite tables in files of about ``file_bytes``, on request with another codec ('none': uncompressed)."""
+        for name in names or sorted(self.index["tables"]):
+            old = self.index["tables"][name]
+            size = self._fs.getContentSummary(self._fs_path(f"{self.path}/{old}")).getLength()
+            version = f"{name}-{uuid.uuid4().hex}.parquet"
+            table = self[name].repartition(max(1, -(-size // file_bytes)))
+            writer = table.write if codec is None else table.write.option("compression", codec)
+            writer.parquet(f"{self.path}/{version}")
+            self.index["tables"][name] = version
+        self._commit()
+
+    def storage(self) -> DataFrame:
+        """(name, files, bytes, codec) of the written tables; the codec is the one in the files' names."""
+        rows = []
+        for name, version in sorted(self.index["tables"].items()):
+            files = [f for f in self._fs.listStatus(self._fs_path(f"{self.path}/{version}")) if f.getPath().getName().startswith("part-")]
+            codecs = {p[-2] if len(p := f.getPath().getName().split(".")) > 2 else "none" for f in files}
+            rows.append((name, len(files), sum(f.getLen() for f in files), ",".join(sorted(codecs))))
+        return self.spark.createDataFrame(rows, "name string, files int, bytes long, codec string")
+
+    def subset(self, cells: DataFrame | None = None, genes: DataFrame | None = None) -> None:
+        """Keep the given cells and genes only, in one step for all tables; nothing left is an error."""
+        kept = self._kept(cells, genes)
+        self.waiting.update(kept)
+        self.checkpoint()
+
+    def _kept(self, cells: DataFrame | None, genes: DataFrame | None) -> dict[str, DataFrame]:
+        out = {}
         for name in self.names():
             df = self[name]
             for keep, key, pair in ((cells, "cell", "obsp"), (genes, "gene", "varp")):
@@ -88,7 +126,13 @@ class Dataset:
                     df = df.join(keep.select(F.col(key).alias(c)), c, "left_semi")
             if name in ("obs", "var") and not df.limit(1).count():
                 raise ValueError(f"no rows of {name} are left")
-            out.waiting[name] = df
+            out[name] = df
+        return out
+
+    def materialize(self, path: str, cells: DataFrame | None = None, genes: DataFrame | None = None) -> "Dataset":
+        """A standalone copy in ``path``, of the given cells and genes only; nothing left is an error."""
+        out = Dataset(self.spark, path, auto_persist=False)
+        out.waiting.update(self._kept(cells, genes))
         out.index["uns"] = dict(self.index["uns"])
         out.checkpoint()
         return out
@@ -103,9 +147,26 @@ def check_finite(df: DataFrame, name: str) -> None:
         raise ValueError(f"{name}: NaN or infinite values in {', '.join(wrong)}")
 
 
+def check_pairs(g: DataFrame, axis: DataFrame, key: str) -> None:
+    """Error if an end of (src, dst, weight) is not on the axis (key)."""
+    ends = g.select(F.col("src").alias(key)).union(g.select("dst")).distinct()
+    if ends.join(axis.select(key), key, "left_anti").limit(1).count():
+        raise ValueError(f"an edge ends outside the {key}s")
+
+
+def check_rows(df: DataFrame, axis: DataFrame, key: str, name: str) -> None:
+    """Error if ``df`` has not one row for each member of the axis."""
+    n, found = axis.count(), df.select(key).join(axis.select(key), key, "left_semi")
+    if (df.count(), found.distinct().count()) != (n, n):
+        raise ValueError(f"{name} has not one row for each {key}")
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(pos, line) in the file's order; positions from 0."""
-    return spark.read.text(path).rdd.zipWithIndex().map(lambda t: (t[1], t[0][0])).toDF("pos long, line string")
+    from sparkmat.operators.network import numbered
+
+    t = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    return numbered(t, "b", "i", name="pos").select("pos", "line")
 
 
 def read_annotations(spark: SparkSession, path: str, headers: list[str] | None = None, sep: str = "\t") -> DataFrame:
