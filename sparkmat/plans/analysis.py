@@ -13,6 +13,7 @@ from sparkmat.operators import matrix as M
 from sparkmat.operators import mixture as U
 from sparkmat.operators import network as N
 from sparkmat.operators import plotdata as P
+from sparkmat.operators.communities import cluster_network
 from sparkmat.plans.tables import CELLS, EDGES, MATRIX, groups, matrix, table, whole_graph
 
 _ND = NormalDist()
@@ -141,7 +142,7 @@ ALL = {
     "build_network_knn": (lambda s, d: N.knn_network(_vectors(s, d), 10, "ip"), f"WITH {_NN}, W AS (SELECT src, dst, 1 - distance / max(distance) OVER () AS w FROM NK) SELECT a.src, a.dst, round(sqrt(a.w * b.w), 6) AS weight FROM W a JOIN W b ON a.src = b.dst AND a.dst = b.src"),
     "build_network_kstar": (lambda s, d: N.kstar_network(_vectors(s, d), metric="ip", mutual=False), _KSTAR),
     "pagerank": (lambda s, d: N.pagerank(whole_graph(s, d)), _pagerank_sql(5, 0.9)),
-    "cluster_network": (lambda s, d: N.cluster(N.knn_network(_vectors(s, d), 10, "ip")), None),
+    "cluster_network": (lambda s, d: cluster_network(N.knn_network(_vectors(s, d), 10, "ip")), None),
     "modularity": (lambda s, d: N.modularity(g := whole_graph(s, d), _labels(g)), f"WITH {EDGES}, T AS (SELECT sum(weight) AS t FROM G), K AS (SELECT sum(k * k) AS kk FROM (SELECT src % 3 AS l, sum(weight) AS k FROM G GROUP BY 1)) SELECT round((SELECT sum(weight) FROM G WHERE src % 3 = dst % 3) / t - kk / t / t, 6) AS modularity FROM T, K"),
     "layout_network": (lambda s, d: N.layout(g := whole_graph(s, d), N.nodes(g).select("node", (F.col("node") % 7).cast("double").alias("x"), (F.col("node") % 5).cast("double").alias("y")), 10), None),
     "match_by_rank": (
