@@ -257,7 +257,10 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM,
     parts = lambda n: F.ceil(n / shard_rows if shard_rows else n * F.col("dim") * 8 / SHARD_BYTES).cast("int")
     plan = stage(index.groupBy("dim", "band").agg(F.count(F.lit(1)).alias("n")).select("dim", "band", parts(F.col("n")).alias("shards")), "shards")
     dealt = index.join(bounded(plan), ["dim", "band"]).withColumn("shard", F.pmod("h1", "shards").cast("int"))
-    graphs = stage(dealt.select("dim", "band", "shard", "members", "v").groupBy("dim", "band", "shard").applyInArrow(_build, "dim int, band int, shard int, start int, v binary, edges binary, members array<long>, sizes array<int>"), "graphs")
+    total = plan.agg(F.sum("shards")).first()[0] or 1
+    # As many partitions as there is work to deal: a shard is few bytes and much work, so small partitions are not merged.
+    apart = lambda df, n, *keys: df.repartition(min(2 * n, 100_000), *keys)
+    graphs = stage(apart(dealt.select("dim", "band", "shard", "members", "v"), total, "dim", "band", "shard").groupBy("dim", "band", "shard").applyInArrow(_build, "dim int, band int, shard int, start int, v binary, edges binary, members array<long>, sizes array<int>"), "graphs")
     least = usable(queries).groupBy("vec_id").agg(F.min(F.struct("v", "band")).alias("q"))
     asked = stage(least.select("vec_id", "q.v", F.col("q.band").alias("query_band"), F.size("q.v").alias("dim")), "queries")
     unstage(index)
@@ -267,7 +270,8 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM,
     pairs = asked.join(bounded(stage(meet, "meet")), "dim").select("vec_id", "v", "query_band", "dim", "band", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
     shards = graphs.join(bounded(blocks), "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     by = "dim", "band", "shard", "block"
-    near = pairs.groupBy(*by).cogroup(shards.groupBy(*by)).applyInArrow(_look(k, beam), _SCHEMA)
+    groups = plan.join(blocks, "dim").agg(F.sum(F.col("shards") * F.col("blocks"))).first()[0] or 1
+    near = apart(pairs, groups, *by).groupBy(*by).cogroup(apart(shards, groups, *by).groupBy(*by)).applyInArrow(_look(k, beam), _SCHEMA)
     best = near.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
