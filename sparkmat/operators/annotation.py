@@ -75,12 +75,12 @@ def best_label(scores: DataFrame, key: str = "cell") -> DataFrame:
 
 
 def marker_stats(x: DataFrame, markers: DataFrame, g: DataFrame, n_genes: int, method: str = "vision", alpha: float = 0.85, rounds: int = 5, code: int = 0, ignore_baseline: bool = False) -> DataFrame:
-    """(node, label, value): vision: z-scores of the marker sums, smoothed over the graph; actionet: the markers' columns
+    """(node, label, value): vision: z-scores of the marker sums, smoothed over the graph; network: the markers' columns
     smoothed, summed by label and, unless ``ignore_baseline``, less the label's mean over the graph's nodes. Not finite is 0.
     """
     if method == "vision":
         smooth = diffuse_columns(g, vision_stats(x, markers, n_genes).withColumnRenamed("cell", "node"), alpha, rounds, code)
-    elif method == "actionet":
+    elif method == "network":
         wanted = x.join(markers.select("gene").distinct(), "gene", "left_semi")
         columns = wanted.select(F.col("cell").alias("node"), F.col("gene").alias("label"), F.col("value").cast("double").alias("value"))
         moved = diffuse_columns(g, columns, alpha, rounds, code).withColumnRenamed("label", "gene")

@@ -85,7 +85,7 @@ def _smoothed(start: str, rounds: int, alpha: float, label: str, code: int = 0)
     return parts
 
 
-def _actionet_sql(rounds: int = 2, alpha: float = 0.85) -> list[str]:
+def _network_sql(rounds: int = 2, alpha: float = 0.85) -> list[str]:
     return [MATRIX, EDGES, _M, *_smoothed("SELECT 2 * cell AS node, gene, value FROM X JOIN M USING (gene)", rounds, alpha, "gene"),
             f"S1 AS (SELECT node, label, sum(value * weight) AS value FROM D{rounds} JOIN M USING (gene) GROUP BY 1, 2)", "F AS (SELECT DISTINCT src AS node FROM G)",
             "S2 AS (SELECT node, label, coalesce(value, 0) AS value FROM F CROSS JOIN (SELECT DISTINCT label FROM M) l LEFT JOIN S1 USING (node, label))",
@@ -211,10 +211,10 @@ ALL = {
     "find_markers_table": (lambda s, d: _markers(s, d, "table"), f"WITH {_SPEC} SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY score DESC, gene DESC) AS rank, gene FROM SC QUALIFY rank <= 5"),
     "find_markers_ranks": (lambda s, d: _markers(s, d, "ranks"), f"WITH {_SPEC} SELECT grp, gene, count(*) OVER (PARTITION BY grp ORDER BY score DESC RANGE UNBOUNDED PRECEDING) AS rank FROM SC"),
     "find_markers_scores": (lambda s, d: _markers(s, d, "scores"), f"WITH {_SPEC} SELECT grp, gene, round(score, 6) AS score FROM SC"),
-    "marker_stats_actionet": (lambda s, d: _annotate(s, d, "actionet", "enrichment"), f"WITH {', '.join(_actionet_sql())} SELECT node, label, round(value, 6) AS value FROM ST"),
+    "marker_stats_network": (lambda s, d: _annotate(s, d, "network", "enrichment"), f"WITH {', '.join(_network_sql())} SELECT node, label, round(value, 6) AS value FROM ST"),
     "marker_stats_vision": (lambda s, d: _annotate(s, d, "vision", "enrichment"), f"WITH {', '.join(_vision_sql())} SELECT node, label, round(value, 6) AS value FROM ST"),
     "annotate_cells_log_p": (lambda s, d: _annotate(s, d, "vision", "log_pvals"), f"WITH {', '.join(_vision_sql() + _LOG_P)} SELECT node, label, round(value, 6) AS value FROM LP"),
-    "annotate_cells": (lambda s, d: _annotate(s, d, "actionet", "labels"), f"WITH {', '.join(_actionet_sql() + _LOG_P)} SELECT node, label, round(value, 6) AS confidence FROM LP QUALIFY row_number() OVER (PARTITION BY node ORDER BY value DESC, label) = 1"),
+    "annotate_cells": (lambda s, d: _annotate(s, d, "network", "labels"), f"WITH {', '.join(_network_sql() + _LOG_P)} SELECT node, label, round(value, 6) AS confidence FROM LP QUALIFY row_number() OVER (PARTITION BY node ORDER BY value DESC, label) = 1"),
     "coreness": (lambda s, d: N.coreness(whole_graph(s, d)), _coreness_sql("E AS MATERIALIZED (SELECT src, dst FROM G)").replace("E0_NODES", "G")),
     "local_coreness": (lambda s, d: N.local_coreness(g := whole_graph(s, d), N.nodes(g).withColumn("label", F.col("node") % 3)), _coreness_sql("E AS MATERIALIZED (SELECT src, dst FROM G WHERE src % 3 = dst % 3)").replace("E0_NODES", "E")),
     "local_pagerank": (lambda s, d: N.local_pagerank(g := whole_graph(s, d), N.nodes(g).withColumn("label", F.col("node") % 3)), _local_pagerank_sql()),

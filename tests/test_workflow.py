@@ -118,7 +118,7 @@ def test_annotate_modes(spark):
     ring = graph(spark, [(o + i, o + j) for o in (0, 10) for i in range(10) for j in range(i)])
     markers = spark.createDataFrame([("p", g, 1.0) for g in range(3)] + [("q", g, 1.0) for g in range(3, 6)], "label string, gene long, weight double")
     want = {i: "p" if i < 10 else "q" for i in range(20)}
-    for method in ("vision", "actionet"):
+    for method in ("vision", "network"):
         got = A.annotate(coo(spark, m), markers, ring, 6, method, propagate=True, log_p=True)
         assert {r.node: r.label for r in got["labels"].collect()} == want
         assert {r.node: r.label for r in got["labels_corrected"].collect()} == want
