@@ -90,7 +90,7 @@ class Lattices:
         if any(re.search("[^ ] ", p) for p in pieces):
             raise ValueError("a piece holds the blank mark after another character")
         self.longest = max(map(len, pieces))
-        self._index(np.array([_points_hash(p) for p in pieces], np.uint64), np.array(list(pieces.values())))
+        self._index(*_entries(list(pieces), np.array(list(pieces.values()))))
         self.score = np.full(n + 1, alpha * (min(score.values()) - 10))  # the last one: an unknown character
         self.score[list(score)] = alpha * np.array(list(score.values()))
         # Ids of an arc: one, or the bytes of a character outside the vocabulary.
@@ -98,41 +98,45 @@ class Lattices:
         self.raw_len = np.array([len(r) for r in raw])
         self.raw_at = np.cumsum(self.raw_len) - self.raw_len
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self._ends = _Rows(np.int32)  # where the arcs of a state begin, one longer than the states
+        self._cum = _Rows(np.float64)  # probability of the state's arcs up to this one
+        self._logp, self._rest = _Rows(np.float64), _Rows(np.float64)
+        self._to = _Rows(np.int32)  # the first arc of the state it leads to, -1 at the word's end
+        self._piece = _Rows(np.int32)  # -1 - c for a character c outside the vocabulary
         self.clear()
 
-    def _index(self, h: np.ndarray, ids: np.ndarray) -> None:
-        """Pieces by the top bits of their hash; those whose slot is taken stand in a small sorted list."""
+    def _index(self, h: np.ndarray, entries: np.ndarray) -> None:
+        """Entries by the top bits of their hash; those whose slot is taken stand in a small sorted list."""
         slot = (h >> np.uint64(64 - _SLOTS)).astype(np.int64)
         _, first = np.unique(slot, return_index=True)
         more = np.setdiff1d(np.arange(len(h)), first)
-        self.slot_hash, self.slot_piece = np.zeros(1 << _SLOTS, np.uint64), np.full(1 << _SLOTS, -1, np.int32)
-        self.slot_hash[slot[first]], self.slot_piece[slot[first]] = h[first], ids[first]
+        self.slot_hash, self.slot_entry = np.zeros(1 << _SLOTS, np.uint64), np.zeros(1 << _SLOTS, np.int32)
+        self.slot_hash[slot[first]], self.slot_entry[slot[first]] = h[first], entries[first]
         more = more[np.argsort(h[more])]
-        self.more_hash, self.more_piece = np.append(h[more], np.uint64(2**64 - 1)), np.append(ids[more], -1)
+        self.more_hash, self.more_entry = np.append(h[more], np.uint64(2**64 - 1)), np.append(entries[more], 0)
         self.crowded = np.zeros(1 << _SLOTS, bool)
         self.crowded[slot[more]] = True
 
-    def _pieces(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Indices of the hashes that are a piece's, and the pieces."""
+    def _entries(self, h: np.ndarray) -> np.ndarray:
+        """The entries of the hashes, 0 where there is none."""
         slot = (h >> np.uint64(64 - _SLOTS)).astype(np.int64)
-        piece = self.slot_piece[slot]
-        other = np.flatnonzero((self.slot_hash[slot] != h) & (piece >= 0))
-        piece[other] = -1
+        entry = self.slot_entry[slot]
+        other = np.flatnonzero(entry)
+        other = other[self.slot_hash[slot[other]] != h[other]]
+        entry[other] = 0
         other = other[self.crowded[slot[other]]]
         if len(other):
             at = np.searchsorted(self.more_hash, h[other])
-            piece[other] = np.where(self.more_hash[at] == h[other], self.more_piece[at], -1)
-        found = np.flatnonzero(piece >= 0)
-        return found, piece[found]
+            entry[other] = np.where(self.more_hash[at] == h[other], self.more_entry[at], 0)
+        return entry
 
     def clear(self) -> None:
+        """Drop all words; the arrays keep their room."""
         self.key = ~(np.arange(1 << _SLOTS, dtype=np.uint64) << np.uint64(64 - _SLOTS))  # word hash by slot; none belongs to its own
         self.first = np.zeros(1 << _SLOTS, np.int32)
-        self._ends = _Rows(np.int32)  # where the arcs of a state begin, one longer than the states
+        for rows in (self._ends, self._cum, self._logp, self._rest, self._to, self._piece):
+            rows.n = 0
         self._ends.add(np.zeros(1, np.int32))
-        self._cum = _Rows(np.float64)  # probability of the state's arcs up to this one
-        self._logp, self._rest = _Rows(np.float64), _Rows(np.float64)
-        self._to, self._n_ids, self._ids_at, self._ids = _Rows(np.int32), _Rows(np.int8), _Rows(np.int32), _Rows(np.int32)
 
     @property
     def arcs(self) -> np.ndarray:
@@ -148,14 +152,15 @@ class Lattices:
         at, h, found, width = np.arange(len(points), dtype=np.int32), np.zeros(len(points), np.uint64), [], np.zeros(len(points), np.int32)
         for n in range(1, self.longest + 1):
             if n > 1:
-                ok = left[at] >= n
+                ok = np.flatnonzero(((entry & 1) > 0) & (left[at] >= n))  # only beginnings of a piece go on
                 at, h = at[ok], h[ok]
                 if not len(at):
                     break
             h = h * _A
             h += own[at + (n - 1)]
-            hit, piece = self._pieces(h)
-            src = at[hit]
+            entry = self._entries(h)
+            hit = np.flatnonzero(entry > 1)
+            src, piece = at[hit], (entry[hit] >> 1) - 1
             if n == 1:
                 lone = np.ones(len(points), bool)
                 lone[src] = False
@@ -166,10 +171,10 @@ class Lattices:
         return *map(np.concatenate, zip(*found)), width
 
     def add(self, text: str, size: np.ndarray) -> np.ndarray:
-        """First states of new words: ``text`` has them one after another, ``size`` their characters."""
+        """First arcs of new words: ``text`` has them one after another, ``size`` their characters."""
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         ends = np.cumsum(size)
-        state, count, n = self._ends.n - 1, self._logp.n, len(points)
+        count, n = self._logp.n, len(points)
         left = np.repeat(ends, size) - np.arange(n)
         src, length, piece, rank, width = self._arcs(points, left)
         # Arcs stand by the distance of their source from its word's end: backward sums go over all words at once.
@@ -202,7 +207,7 @@ class Lattices:
         order = np.empty(len(place), np.int64)
         order[place] = np.arange(len(place))
         src, piece, value, length = src[order], piece[order], value[order], length[order]
-        to = np.where(length == left[src], -1, src + length + state)
+        to = np.where(length == left[src], -1, count + np.append(begin, 0)[src + length])
         p = np.exp(value)
         likeliest = p[begin]
         p[begin] = 0.0
@@ -214,24 +219,18 @@ class Lattices:
         cum = total - np.repeat(total[begin] - likeliest, width)
         cum[begin + width - 1] = 1.0
         value[begin[width == 1]] = 0.0
-        n_ids, ids = np.ones(len(p), np.int8), piece
-        if len(odd := np.flatnonzero(piece < 0)):
-            own = [[self.byte_id.get(b, 0) for b in chr(c).replace(" ", BLANK).encode()] if self.byte_id else [0] for c in points[src[odd]].tolist()]
-            n_ids[odd] = list(map(len, own))
-            ids = np.repeat(piece, n_ids)
-            ids[ids < 0] = [x for o in own for x in o]
+        odd = np.flatnonzero(piece < 0)
+        piece[odd] = -1 - points[src[odd]].astype(np.int32)
         self._ends.add(count + begin + width)
         self._cum.add(cum)
         self._logp.add(value)
         self._rest.add(np.log(np.maximum(rest, 0.0)))
         self._to.add(to)
-        self._ids_at.add(self._ids.n + np.cumsum(n_ids) - n_ids)
-        self._n_ids.add(n_ids)
-        self._ids.add(ids)
-        return ends - size + state
+        self._piece.add(piece)
+        return count + begin[ends - size]
 
     def states(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """First state of each word; all states stay valid until the next call."""
+        """First arc of each word; all arcs stay valid until the next call."""
         if self._ends.n > CACHE_STATES:
             self.clear()
         if not len(starts):
@@ -253,11 +252,18 @@ class Lattices:
 
     def ids_of(self, arcs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the arcs, and how many each has."""
-        n, at = self._n_ids.a[arcs], self._ids_at.a[arcs]
-        if (n == 1).all():
-            return self._ids.a[at], n
-        n = n.astype(np.int64)
-        return self._ids.a[np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())], n
+        ids = self._piece.a[arcs]
+        n = np.ones(len(ids), np.int8)
+        odd = np.flatnonzero(ids < 0)
+        if not len(odd):
+            return ids, n
+        points, which = np.unique(-1 - ids[odd], return_inverse=True)
+        own = [[self.byte_id.get(b, 0) for b in chr(c).replace(" ", BLANK).encode()] if self.byte_id else [0] for c in points.tolist()]
+        size = np.array(list(map(len, own)))
+        n[odd] = size[which]
+        ids = np.repeat(ids, n)
+        ids[ids < 0] = np.concatenate(own)[_ranges((np.cumsum(size) - size)[which], size[which])]
+        return ids, n
 
     def normal(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes and offsets of a block's normalised texts, blanks in place of blank marks."""
@@ -320,11 +326,20 @@ def _point(points: np.ndarray) -> np.ndarray:
     return mix(points.astype(np.uint64) + _B)
 
 
-def _points_hash(piece: str) -> int:
-    h = np.zeros(1, np.uint64)
-    for x in _point(np.frombuffer(piece.encode("utf-32-le"), np.uint32)):
-        h = h * _A + x
-    return int(h[0])
+def _entries(pieces: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all pieces and beginnings of pieces, and their entries: twice the piece + 1 (0: none), and 1 more if a longer piece begins so."""
+    size = np.array(list(map(len, pieces)))
+    own = _point(np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32))
+    at, h, found = np.cumsum(size) - size, np.zeros(len(size), np.uint64), []
+    for n in range(int(size.max())):
+        ok = size > n
+        size, ids, at, h = size[ok], ids[ok], at[ok], h[ok] * _A
+        h += own[at + n]
+        found.append((h, np.where(size == n + 1, 2 * (ids + 1), 1).astype(np.int32)))
+    h, entry = map(np.concatenate, zip(*found))
+    order = np.argsort(h)
+    h, first = np.unique(h[order], return_index=True)
+    return h, np.bitwise_or.reduceat(entry[order], first)
 
 
 def lattices(model: str, alpha: float) -> Lattices:
@@ -347,22 +362,21 @@ def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def _walk(lat: Lattices, state: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sampled arcs from each state to its word's end, one start after another, and how many each has."""
-    at, whose, step, parts, length = state, np.arange(len(state), dtype=np.int32), 0, [], np.zeros(len(state), np.int64)
-    ends, cum, to = lat.arcs, lat._cum.a, lat._to.a
-    while len(at):
+    """Sampled arcs from each state (its first arc) to its word's end, one start after another, and how many each has."""
+    arc, whose, step, parts, length = state.copy(), np.arange(len(state), dtype=np.int32), 0, [], np.zeros(len(state), np.int64)
+    cum, to = lat._cum.a, lat._to.a
+    while len(arc):
         # The noise of a word's step is a counter's hash: the same whatever else is in the block.
         u = _uniform(noise[whose] + np.uint64(step) * _C)
-        arc = ends[at]
         late = np.flatnonzero(u >= cum[arc])  # arcs go from the likeliest on, so most are found at once
         while len(late):
             arc[late] += 1
             late = late[u[late] >= cum[arc[late]]]
         parts.append((whose, arc))
         length[whose] = step + 1
-        at = to[arc]
-        go = np.flatnonzero(at >= 0)
-        at, whose, step = at[go], whose[go], step + 1
+        arc = to[arc]
+        go = np.flatnonzero(arc >= 0)
+        arc, whose, step = arc[go], whose[go], step + 1
     out = np.empty(int(length.sum()), np.int32)
     begin = np.cumsum(length) - length
     for step, (whose, arc) in enumerate(parts):
@@ -377,12 +391,13 @@ def _truncated(loc: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
 
 @dataclass
 class _Paths:
-    """The paths that one turn completed: of text ``text[i]`` the arcs [at[i], at[i + 1]) and their words."""
+    """The paths that one turn completed: of text ``text[i]`` the arcs [at[i], at[i + 1]), their words and log-probabilities."""
 
     text: np.ndarray
     at: np.ndarray
     arc: np.ndarray
     word: np.ndarray
+    logp: np.ndarray
     value: np.ndarray
 
 
@@ -413,7 +428,7 @@ def _grow(lat, offsets, first, seeds, turn, k, text, head, extra, base, value, w
     """Complete a path of each text.
 
     head: (path, its offset, length) kept of an earlier path; extra: the arc after it (-1: none); base: their
-    log-probability; word: the next word of the text; inside: the state in it, or -1 for its first.
+    log-probability; word: the next word of the text; inside: the first arc of the state in it, or -1 for the word's first.
     """
     count = offsets[text + 1] - offsets[text] - word
     state = first[_ranges(offsets[text] + word, count)]
@@ -432,18 +447,19 @@ def _grow(lat, offsets, first, seeds, turn, k, text, head, extra, base, value, w
     more = (extra >= 0).astype(np.int64)
     size = head[2] + more + tail
     ends = np.concatenate([[0], np.cumsum(size)])
-    path = _Paths(text, ends, np.empty(int(ends[-1]), np.int32), np.empty(int(ends[-1]), np.int32), value)
+    path = _Paths(text, ends, *(np.empty(int(ends[-1]), t) for t in (np.int32, np.int32, np.float64)), value)
     for p in np.unique(head[0][head[2] > 0]):
         mine = np.flatnonzero((head[0] == p) & (head[2] > 0))
         source, target = _ranges(head[1][mine], head[2][mine]), _ranges(ends[:-1][mine], head[2][mine])
-        path.arc[target], path.word[target] = paths[p].arc[source], paths[p].word[source]
+        path.arc[target], path.word[target], path.logp[target] = paths[p].arc[source], paths[p].word[source], paths[p].logp[source]
     has = np.flatnonzero(more)
-    path.arc[ends[:-1][has] + head[2][has]], path.word[ends[:-1][has] + head[2][has]] = extra[has], word[has] - (inside[has] < 0)
-    target = _ranges(ends[:-1] + head[2] + more, tail)
-    path.arc[target], path.word[target] = arc, np.repeat(words, length)
+    target = ends[:-1][has] + head[2][has]
+    path.arc[target], path.word[target], path.logp[target] = extra[has], word[has] - (inside[has] < 0), lat.logp[extra[has]]
+    target, logp = _ranges(ends[:-1] + head[2] + more, tail), lat.logp[arc]
+    path.arc[target], path.word[target], path.logp[target] = arc, np.repeat(words, length), logp
     paths.append(path)
     # Open siblings along the tail: their truncated maxima, as far as they can be among the k best.
-    units = np.rint(lat.logp[arc] / UNIT).astype(np.int64)
+    units = np.rint(logp / UNIT).astype(np.int64)
     total = np.cumsum(units) - units
     before = base[whose] + (total - np.repeat(total[at[tail > 0]], tail[tail > 0])) * UNIT
     loc = before + lat._rest.a[arc]
@@ -459,6 +475,8 @@ def _grow(lat, offsets, first, seeds, turn, k, text, head, extra, base, value, w
     floor = np.partition(grid, grid.shape[1] - k, axis=1)[:, grid.shape[1] - k]
     late = np.flatnonzero((place >= EARLY) & (loc + MOST_NOISE > floor[whose]))
     step, noise = np.concatenate([early, late]), np.concatenate([noise, drawn(late)])
+    some = np.flatnonzero(noise >= floor[whose[step]])  # k of a text reach its floor, if it has as many
+    step, noise = step[some], noise[some]
     order = np.lexsort((place[step], -noise, whose[step]))
     step, noise = step[order], noise[order]
     top = np.arange(len(step)) - np.searchsorted(whose[step], whose[step]) < k
@@ -547,7 +565,7 @@ def _sample_block(lat, keys, data, offsets, k, seed) -> Samples:
     limit = front.value.max(1, initial=-np.inf)
     found = []
     for rank, p in enumerate(paths):
-        logp = np.bincount(np.repeat(np.arange(len(p.text)), np.diff(p.at)), lat.logp[p.arc], minlength=len(p.text)).astype(float)
+        logp = np.bincount(np.repeat(np.arange(len(p.text)), np.diff(p.at)), p.logp, minlength=len(p.text)).astype(float)
         found.append((p.text, np.full(len(p.text), rank + 1), logp, p.value, _log_inclusion(logp - limit[p.text])))
     text, rank, logp, value, inclusion = map(np.concatenate, zip(*found))
     order = np.lexsort((rank, text))

@@ -78,3 +78,37 @@ def test_round_trip(spark):
     sampled = sampling.sample(docs, k=3)
     assert {(r.doc_id, r.text) for r in sampling.decode(sampled).collect()} == {(i, t or "") for i, t in rows}
     assert np.all([r.n >= 1 for r in sampled.selectExpr("sample AS n").collect()])
+
+
+def test_lattice_work(monkeypatch):
+    lat = sampling.Lattices(sampling.MODEL, ALPHA)
+    sp = lat.sp
+    pieces = {sp.id_to_piece(i).replace(sampling.BLANK, " "): i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+    begins = {p[:n] for p in pieces for n in range(1, len(p))}
+    words = [" international", " qxzqxzqxzqxzqxzqxz", " 日本", " Zoë😀", " the"]
+    size = np.array(list(map(len, words)))
+    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(points))
+    looked, look = [], lat._entries
+    monkeypatch.setattr(lat, "_entries", lambda h: looked.append(len(h)) or look(h))
+    src, length, piece, _, _ = lat._arcs(points, left)
+    text, want, tried = "".join(words), set(), 0
+    for i, n in enumerate(left.tolist()):
+        for m in range(1, n + 1):
+            tried += 1
+            if (found := text[i : i + m]) in pieces or m == 1:
+                want.add((i, m, pieces.get(found, -1)))
+            if found not in begins:
+                break
+    assert set(zip(src.tolist(), length.tolist(), piece.tolist())) == want and len(src) == len(want)
+    assert sum(looked) == tried  # nothing is looked up behind a beginning that no piece has
+    # Dropping the words keeps the room of the arrays, and results do not depend on what is kept.
+    texts = ["a few wörds 日本 😀 " * 3, "more words, more " * 40, "", "international 日 trade"] * 5
+    before = sampling.sample_texts(lat, list(range(20)), texts, 3)
+    room = lat._cum.a
+    lat.clear()
+    assert lat._cum.a is room
+    monkeypatch.setattr(sampling, "CACHE_STATES", 1)
+    for key, own, text in zip(range(20), before, texts):
+        for a, b in zip(own, sampling.sample_texts(lat, [key], [text], 3)[0], strict=True):
+            assert a[0].tolist() == b[0].tolist() and a[1:] == b[1:]
