@@ -15,6 +15,7 @@ from sparkmat.operators import matrix as M
 from sparkmat.operators import network as N
 from sparkmat.operators import plotdata as P
 from sparkmat.operators.lazy import create_lazy_transform
+from sparkmat.plans.analysis import smoothed
 from sparkmat.plans.tables import CELLS, EDGES, MATRIX, groups, matrix, table, whole_graph
 
 _N = "(SELECT count(*) FROM C)"
@@ -76,17 +77,8 @@ def _as_nodes(s, d):
     return matrix(s, d).withColumn("cell", 2 * F.col("cell"))
 
 
-def _smoothed(start: str, rounds: int, alpha: float, label: str, code: int = 0) -> list[str]:
-    """CTEs that diffuse D0 (node, label, value) over G."""
-    by = {0: "sum(weight) OVER (PARTITION BY dst)", 2: "sqrt(sum(weight) OVER (PARTITION BY src) * sum(weight) OVER (PARTITION BY dst))"}[code]
-    parts = [f"D0 AS ({start})", f"P AS MATERIALIZED (SELECT src, dst, weight / {by} AS weight FROM G)"]
-    for i in range(rounds):
-        parts.append(f"D{i + 1} AS MATERIALIZED (SELECT node, {label}, {alpha} * coalesce(m, 0) + {1 - alpha:.6f} * coalesce(D0.value, 0) AS value FROM D0 FULL JOIN (SELECT src AS node, {label}, sum(weight * value) AS m FROM P JOIN D{i} ON dst = node GROUP BY 1, 2) USING (node, {label}))")
-    return parts
-
-
 def _network_sql(rounds: int = 2, alpha: float = 0.85) -> list[str]:
-    return [MATRIX, EDGES, _M, *_smoothed("SELECT 2 * cell AS node, gene, value FROM X JOIN M USING (gene)", rounds, alpha, "gene"),
+    return [MATRIX, EDGES, _M, *smoothed("SELECT 2 * cell AS node, gene, value FROM X JOIN M USING (gene)", rounds, alpha, "gene"),
             f"S1 AS (SELECT node, label, sum(value * weight) AS value FROM D{rounds} JOIN M USING (gene) GROUP BY 1, 2)", "F AS (SELECT DISTINCT src AS node FROM G)",
             "S2 AS (SELECT node, label, coalesce(value, 0) AS value FROM F CROSS JOIN (SELECT DISTINCT label FROM M) l LEFT JOIN S1 USING (node, label))",
             "ST AS MATERIALIZED (SELECT node, label, value - avg(value) OVER (PARTITION BY label) AS value FROM S2)"]
@@ -95,7 +87,7 @@ def _network_sql(rounds: int = 2, alpha: float = 0.85) -> list[str]:
 def _vision_sql(rounds: int = 2, alpha: float = 0.85) -> list[str]:
     return [MATRIX, EDGES, _M, "R AS (SELECT cell, sum(value) / 50 AS mu, (sum(value * value) - sum(value) * sum(value) / 50) / 49 AS v FROM X GROUP BY 1)", "T AS (SELECT label, sum(weight) AS m FROM M GROUP BY 1)",
             "V AS (SELECT cell, label, sum(value) AS s FROM X JOIN M USING (gene) GROUP BY 1, 2)",
-            *_smoothed("SELECT 2 * cell AS node, label, CASE WHEN v > 0 THEN (coalesce(s, 0) - mu * m) / sqrt(v * m) ELSE 0 END AS value FROM R CROSS JOIN T LEFT JOIN V USING (cell, label)", rounds, alpha, "label"), f"ST AS (SELECT * FROM D{rounds})"]
+            *smoothed("SELECT 2 * cell AS node, label, CASE WHEN v > 0 THEN (coalesce(s, 0) - mu * m) / sqrt(v * m) ELSE 0 END AS value FROM R CROSS JOIN T LEFT JOIN V USING (cell, label)", rounds, alpha, "label"), f"ST AS (SELECT * FROM D{rounds})"]
 
 
 _LOG_P = ["UP AS MATERIALIZED (SELECT node, label, greatest(value, 0) AS value FROM ST)", "W AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS weight FROM G)", "PR AS (SELECT label, sum(value) / (SELECT count(DISTINCT node) FROM ST) AS p FROM UP GROUP BY 1)",
@@ -107,31 +99,6 @@ def _annotate(s, d, method, table_name):
     return A.annotate(_as_nodes(s, d), _marker_table(s), whole_graph(s, d), 50, method, 0.85, 2, log_p=True)[table_name]
 
 
-def _coreness_sql(edges: str, rounds: int = 40) -> str:
-    parts = [EDGES, edges, "H0 AS MATERIALIZED (SELECT src AS node, count(*) AS core FROM E GROUP BY 1)"]
-    for i in range(rounds):
-        parts.append(f"H{i + 1} AS MATERIALIZED (SELECT src AS node, max(least(r, core)) AS core FROM (SELECT src, core, row_number() OVER (PARTITION BY src ORDER BY core DESC) AS r FROM E JOIN H{i} ON dst = node) GROUP BY 1)")
-    return f"WITH {', '.join(parts)} SELECT node, CAST(coalesce(core, 0) AS BIGINT) AS coreness FROM (SELECT DISTINCT src AS node FROM E0_NODES) LEFT JOIN H{rounds} USING (node)"
-
-
-def _local_pagerank_sql(rounds: int = 5, alpha: float = 0.9) -> str:
-    parts = [EDGES, *_smoothed("SELECT node, node % 3 AS label, 1.0 / count(*) OVER (PARTITION BY node % 3) AS value FROM (SELECT DISTINCT src AS node FROM G)", rounds, alpha, "label")]
-    return f"WITH {', '.join(parts)} SELECT node, round(max(value / top), 6) AS value FROM (SELECT *, max(value) OVER (PARTITION BY label) AS top FROM D{rounds}) GROUP BY 1"
-
-
-def _propagation_sql(rounds: int = 3) -> str:
-    parts = [EDGES, "B0 AS MATERIALIZED (SELECT src AS node, src % 3 AS label FROM G GROUP BY 1)", "EE AS MATERIALIZED (SELECT * FROM G UNION ALL SELECT node, node, 1.0 FROM B0)", "RW AS MATERIALIZED (SELECT src, sum(weight) AS w1, sum(weight * weight) AS w2, max(weight) AS a FROM EE GROUP BY 1)"]
-    for i in range(rounds):
-        parts += [
-            f"PR{i} AS (SELECT label, count(*) * 1.0 / (SELECT count(*) FROM B0) AS p FROM B{i} GROUP BY 1)",
-            f"OB{i} AS (SELECT src, label, sum(weight) AS obs FROM EE JOIN B{i} ON dst = node GROUP BY 1, 2)",
-            f"SR{i} AS (SELECT src AS node, label AS best, round(CASE WHEN obs - w1 * p > 0 THEN (obs - w1 * p) * (obs - w1 * p) / (2 * (w2 * p + (obs - w1 * p) * a / 3)) ELSE 0 END, 9) AS score FROM OB{i} JOIN RW USING (src) JOIN PR{i} USING (label))",
-            f"TB{i} AS (SELECT * FROM SR{i} QUALIFY row_number() OVER (PARTITION BY node ORDER BY score DESC, best) = 1)",
-            f"B{i + 1} AS MATERIALIZED (SELECT node, CASE WHEN score > 3 THEN best ELSE label END AS label FROM B{i} LEFT JOIN TB{i} USING (node))",
-        ]
-    return f"WITH {', '.join(parts)} SELECT node, label FROM B{rounds}"
-
-
 def _lengths(f, names=("cell", "length")):
     square = F.aggregate("vec", F.lit(0.0), lambda t, v: t + v * v)
     return f.reduction().select(F.col("cell").alias(names[0]), F.round(square, 3).alias(names[1]))
@@ -215,10 +182,6 @@ ALL = {
     "marker_stats_vision": (lambda s, d: _annotate(s, d, "vision", "enrichment"), f"WITH {', '.join(_vision_sql())} SELECT node, label, round(value, 6) AS value FROM ST"),
     "annotate_cells_log_p": (lambda s, d: _annotate(s, d, "vision", "log_pvals"), f"WITH {', '.join(_vision_sql() + _LOG_P)} SELECT node, label, round(value, 6) AS value FROM LP"),
     "annotate_cells": (lambda s, d: _annotate(s, d, "network", "labels"), f"WITH {', '.join(_network_sql() + _LOG_P)} SELECT node, label, round(value, 6) AS confidence FROM LP QUALIFY row_number() OVER (PARTITION BY node ORDER BY value DESC, label) = 1"),
-    "coreness": (lambda s, d: N.coreness(whole_graph(s, d)), _coreness_sql("E AS MATERIALIZED (SELECT src, dst FROM G)").replace("E0_NODES", "G")),
-    "local_coreness": (lambda s, d: N.local_coreness(g := whole_graph(s, d), N.nodes(g).withColumn("label", F.col("node") % 3)), _coreness_sql("E AS MATERIALIZED (SELECT src, dst FROM G WHERE src % 3 = dst % 3)").replace("E0_NODES", "E")),
-    "local_pagerank": (lambda s, d: N.local_pagerank(g := whole_graph(s, d), N.nodes(g).withColumn("label", F.col("node") % 3)), _local_pagerank_sql()),
-    "label_propagation": (lambda s, d: N.propagate_labels(g := whole_graph(s, d), N.nodes(g).withColumn("label", F.col("node") % 3)), _propagation_sql()),
     "undirected_edges": (lambda s, d: N.undirected(whole_graph(s, d)), f"WITH {EDGES} SELECT * FROM G WHERE src <= dst"),
     "svd_cell_lengths": (lambda s, d: _lengths(D.run_svd(matrix(s, d), 50)), f"WITH {MATRIX} SELECT cell, round(sum(value * value), 3) AS length FROM X GROUP BY 1"),
     "svd_gene_lengths": (_gene_lengths, f"WITH {MATRIX} SELECT gene, round(sum(value * value), 3) AS length FROM X GROUP BY 1"),
