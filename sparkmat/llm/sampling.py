@@ -63,6 +63,12 @@ class _Rows:
     def __init__(self, dtype):
         self.a, self.n = np.zeros(1 << 12, dtype), 0
 
+    def clear(self, most: int) -> None:
+        """Empty it; the room stays if it is for ``most`` elements or fewer."""
+        if len(self.a) > most:
+            self.a = np.zeros(1 << 12, self.a.dtype)
+        self.n = 0
+
     def add(self, x: np.ndarray) -> None:
         if self.n + len(x) > len(self.a):
             more = np.zeros(max(len(self.a), self.n + len(x) - len(self.a)), self.a.dtype)
@@ -131,11 +137,11 @@ class Lattices:
         return entry
 
     def clear(self) -> None:
-        """Drop all words; the arrays keep their room."""
+        """Drop all words; the arrays keep their room unless a long text needed more than the cache does."""
         self.key = ~(np.arange(1 << _SLOTS, dtype=np.uint64) << np.uint64(64 - _SLOTS))  # word hash by slot; none belongs to its own
         self.first = np.zeros(1 << _SLOTS, np.int32)
         for rows in (self._ends, self._cum, self._logp, self._rest, self._to, self._piece):
-            rows.n = 0
+            rows.clear(8 * CACHE_STATES)
         self._ends.add(np.zeros(1, np.int32))
 
     @property

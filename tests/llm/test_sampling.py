@@ -109,6 +109,8 @@ def test_lattice_work(monkeypatch):
     lat.clear()
     assert lat._cum.a is room
     monkeypatch.setattr(sampling, "CACHE_STATES", 1)
+    lat.clear()
+    assert len(lat._cum.a) <= len(room) and lat._cum.a is not room  # more room than the cache needs is given back
     for key, own, text in zip(range(20), before, texts):
         for a, b in zip(own, sampling.sample_texts(lat, [key], [text], 3)[0], strict=True):
             assert a[0].tolist() == b[0].tolist() and a[1:] == b[1:]
