@@ -44,3 +44,17 @@ def test_probed_lists(spark):
     np.fill_diagonal(d, np.inf)
     want = {(i, int(j)) for i in range(600) for j in np.argsort(d[i])[:4]}
     assert len(got) == 2400 and len({(r.src, r.dst) for r in got} & want) > 0.8 * 2400
+
+
+def test_clusters_go_to_memory_once_they_fit(spark, monkeypatch):
+    """Before, the graph was computed again for its check, and every level ran its rounds where it is although the next one fitted."""
+    from sparkmat.operators import communities as C
+
+    rng = np.random.default_rng(7)
+    pairs = [(a, b) for a in range(120) for b in range(a) if rng.random() < (0.8 if a // 10 == b // 10 else 0.01)]
+    g = spark.createDataFrame([(x, y, 1.0) for a, b in pairs for x, y in ((a, b), (b, a))], "src long, dst long, weight double")
+    rows, contracted = [], N.cut
+    monkeypatch.setattr(N, "cut", lambda df: (rows.append(df.columns), contracted(df))[1])
+    found = C.cluster_network(g, most_edges=400)
+    assert {r.node: r.label for r in found.collect()} == {i: i // 10 * 10 for i in range(120)}
+    assert sum(c == ["src", "dst", "weight"] for c in rows) == 2  # the graph and one contraction
