@@ -78,19 +78,20 @@ def marker_stats(x: DataFrame, markers: DataFrame, g: DataFrame, n_genes: int, m
     """(node, label, value): vision: z-scores of the marker sums, smoothed over the graph; network: the markers' columns
     smoothed, summed by label and, unless ``ignore_baseline``, less the label's mean over the graph's nodes. Not finite is 0.
     """
+    from sparkmat.operators.network import cut
+
     if method == "vision":
         smooth = diffuse_columns(g, vision_stats(x, markers, n_genes).withColumnRenamed("cell", "node"), alpha, rounds, code)
     elif method == "network":
-        wanted = x.join(markers.select("gene").distinct(), "gene", "left_semi")
-        columns = wanted.select(F.col("cell").alias("node"), F.col("gene").alias("label"), F.col("value").cast("double").alias("value"))
-        moved = diffuse_columns(g, columns, alpha, rounds, code).withColumnRenamed("label", "gene")
-        smooth = moved.join(markers, "gene").groupBy("node", "label").agg(F.sum(F.col("value") * F.col("weight")).alias("value"))
+        # Smoothing is linear: the markers' columns are summed by label before it, and one column a label is smoothed.
+        columns = x.join(markers, "gene").groupBy(F.col("cell").alias("node"), "label").agg(F.sum(F.col("value").cast("double") * F.col("weight")).alias("value"))
+        smooth = diffuse_columns(g, columns, alpha, rounds, code)
         if not ignore_baseline:
             every = g.select(F.col("src").alias("node")).union(x.select("cell")).distinct()
             frame = every.crossJoin(markers.select("label").distinct())
-            full = frame.join(smooth, ["node", "label"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+            full = cut(frame.join(smooth, ["node", "label"], "left").withColumn("value", F.coalesce("value", F.lit(0.0))))
             mean = full.groupBy("label").agg(F.avg("value").alias("mean"))
-            smooth = full.join(mean, "label").select("node", "label", (F.col("value") - F.col("mean")).alias("value"))
+            smooth = full.join(F.broadcast(mean), "label").select("node", "label", (F.col("value") - F.col("mean")).alias("value"))
     else:
         raise ValueError(f"unknown method {method!r}")
     value = F.col("value")
@@ -110,6 +111,7 @@ def annotate(x: DataFrame, markers: DataFrame, g: DataFrame, n_genes: int, metho
 
     if not markers.limit(1).count():
         raise ValueError("there is no marker")
+    x, g = cut(x), cut(g)  # read by the statistic, its baseline and the enrichment
     stats = cut(marker_stats(x, markers, g, n_genes, method, alpha, rounds, code, ignore_baseline))
     scores = graph_log_p(g, stats) if enrich or log_p else None
     labels = best_label(scores if enrich else stats, "node")
@@ -128,11 +130,28 @@ def annotate_cells(x: DataFrame, markers: DataFrame, g: DataFrame, n_genes: int,
 
 def diffuse_columns(g: DataFrame, scores: DataFrame, alpha: float = 0.85, rounds: int = 5, code: int = 0) -> DataFrame:
     """x <- alpha P x + (1 - alpha) x0 for each label of (node, label, value); missing entries are 0, alpha 0 gives the scores."""
-    p, x = G.normalize_graph(g, code), scores
-    start = scores.select("node", "label", F.col("value").alias("x0"))
-    for _ in range(rounds if alpha else 0):
+    from sparkmat.operators.network import cut, dealt
+
+    if not alpha or not rounds:
+        return scores
+    p, start = dealt(G.normalize_graph(g, code), "dst"), cut(scores.select("node", "label", "value"))
+    found = G.side_by_side(start)
+    if found and found[1]:
+        return G.one_by_one(_diffused(p, cut(found[0]), len(found[1]), alpha, rounds), found[1], scores.schema["label"].dataType)
+    x, start = start, start.withColumnRenamed("value", "x0")
+    for _ in range(rounds):
         moved = p.join(x, p["dst"] == x["node"]).groupBy(F.col("src").alias("node"), "label").agg(F.sum(F.col("weight") * F.col("value")).alias("m"))
-        x = start.join(moved, ["node", "label"], "full").select("node", "label", (F.coalesce("m", F.lit(0.0)) * alpha + F.coalesce("x0", F.lit(0.0)) * (1 - alpha)).alias("value"))
+        x = cut(start.join(moved, ["node", "label"], "full").select("node", "label", (F.coalesce("m", F.lit(0.0)) * alpha + F.coalesce("x0", F.lit(0.0)) * (1 - alpha)).alias("value")))
+    return x
+
+
+def _diffused(p: DataFrame, start: DataFrame, n: int, alpha: float, rounds: int) -> DataFrame:
+    """The rounds of ``diffuse_columns`` on labels side by side (node, c0, c1, ...), null where a label has not come."""
+    names = [f"c{i}" for i in range(n)]
+    x, first = start, start.select("node", *(F.col(c).alias(f"{c}_0") for c in names))
+    for _ in range(rounds):
+        now = lambda c: F.when(F.col(c).isNotNull() | F.col(f"{c}_0").isNotNull(), F.coalesce(c, F.lit(0.0)) * alpha + F.coalesce(f"{c}_0", F.lit(0.0)) * (1 - alpha)).alias(c)
+        x = first.join(G.spread(p, x, names), "node", "full").select("node", *map(now, names))
     return x
 
 

@@ -58,3 +58,65 @@ def test_clusters_go_to_memory_once_they_fit(spark, monkeypatch):
     found = C.cluster_network(g, most_edges=400)
     assert {r.node: r.label for r in found.collect()} == {i: i // 10 * 10 for i in range(120)}
     assert sum(c == ["src", "dst", "weight"] for c in rows) == 2  # the graph and one contraction
+
+
+def counted(spark, rows):
+    """A graph that counts how many of its rows are computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(parts):
+        for t in parts:
+            seen.add(len(t))
+            yield t
+
+    return spark.createDataFrame(rows, "src long, dst long, weight double").coalesce(1).mapInPandas(run, "src long, dst long, weight double"), seen
+
+
+RING = [(a, (a + d) % 30, 1.0) for a in range(30) for d in (1, -1)]
+
+
+@pytest.mark.parametrize("name,most", [("pagerank", 1), ("layout", 2), ("propagate", 1), ("local_pagerank", 1), ("permuted", 1), ("annotate", 1)])
+def test_graphs_are_computed_once(spark, name, most):
+    """Before, every round, or the nodes beside the edges, computed the graph anew."""
+    from sparkmat.operators import annotation as A
+    from sparkmat.operators import graph as G
+
+    g, seen = counted(spark, RING)
+    labels = spark.range(30).selectExpr("id AS node", "id % 3 AS label")
+    values = spark.range(30).selectExpr("id AS node", "CAST(id % 7 AS DOUBLE) AS value")
+    markers = spark.createDataFrame([("a", 0, 1.0), ("b", 1, 1.0)], "label string, gene long, weight double")
+    x = spark.range(60).selectExpr("id % 30 AS cell", "id DIV 30 AS gene", "CAST(id % 5 AS DOUBLE) AS value")
+    run = {
+        "pagerank": lambda: N.pagerank(g),
+        "layout": lambda: N.layout(g, spark.range(30).selectExpr("id AS node", "CAST(id % 7 AS DOUBLE) AS x", "CAST(id % 5 AS DOUBLE) AS y"), 3),
+        "propagate": lambda: N.propagate_labels(g, labels),
+        "local_pagerank": lambda: N.local_pagerank(g, labels),
+        "permuted": lambda: G.permuted_autocorrelation(g, values, 2),
+        "annotate": lambda: A.annotate(x, markers, g, 2, "network")["labels"],
+    }[name]
+    assert run().count() > 0
+    assert seen.value <= most * len(RING)
+
+
+def test_network_statistic_smooths_a_column_a_label(spark, monkeypatch):
+    """Before, a column of every marker gene was smoothed."""
+    from sparkmat.operators import annotation as A
+
+    g = spark.createDataFrame(RING, "src long, dst long, weight double")
+    x = spark.range(180).selectExpr("id % 30 AS cell", "id DIV 30 AS gene", "CAST(id % 5 AS DOUBLE) AS value")
+    markers = spark.range(6).selectExpr("id % 2 AS label", "id AS gene", "1.0D + id AS weight")
+    smoothed, real = [], A.diffuse_columns
+    monkeypatch.setattr(A, "diffuse_columns", lambda g, s, *a: (smoothed.append({r.label for r in s.collect()}), real(g, s, *a))[1])
+    got = {(r.node, r.label): r.value for r in A.marker_stats(x, markers, g, 6, "network", rounds=2, ignore_baseline=True).collect()}
+    assert smoothed == [{0, 1}]
+    m, w, p = np.zeros((30, 6)), np.zeros((6, 2)), np.zeros((30, 30))
+    for i in range(180):
+        m[i % 30, i // 30] = i % 5
+    for i in range(6):
+        w[i, i % 2] = 1 + i
+    for a, b, _ in RING:
+        p[a, b] = 0.5
+    want = m
+    for _ in range(2):
+        want = 0.85 * p @ want + 0.15 * m
+    assert all(abs(got[i, j] - (want @ w)[i, j]) < 1e-9 for i in range(30) for j in range(2))
