@@ -75,7 +75,7 @@ def counted(spark, rows):
 RING = [(a, (a + d) % 30, 1.0) for a in range(30) for d in (1, -1)]
 
 
-@pytest.mark.parametrize("name,most", [("pagerank", 1), ("layout", 2), ("propagate", 1), ("local_pagerank", 1), ("permuted", 1), ("annotate", 1)])
+@pytest.mark.parametrize("name,most", [("pagerank", 1), ("layout", 2), ("propagate", 1), ("local_pagerank", 1), ("permuted", 1), ("annotate", 1), ("coreness", 1)])
 def test_graphs_are_computed_once(spark, name, most):
     """Before, every round, or the nodes beside the edges, computed the graph anew."""
     from sparkmat.operators import annotation as A
@@ -91,6 +91,7 @@ def test_graphs_are_computed_once(spark, name, most):
         "layout": lambda: N.layout(g, spark.range(30).selectExpr("id AS node", "CAST(id % 7 AS DOUBLE) AS x", "CAST(id % 5 AS DOUBLE) AS y"), 3),
         "propagate": lambda: N.propagate_labels(g, labels),
         "local_pagerank": lambda: N.local_pagerank(g, labels),
+        "coreness": lambda: N.coreness(g),
         "permuted": lambda: G.permuted_autocorrelation(g, values, 2),
         "annotate": lambda: A.annotate(x, markers, g, 2, "network")["labels"],
     }[name]
