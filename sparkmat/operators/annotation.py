@@ -240,14 +240,24 @@ def xicor(pairs: DataFrame, by: str = "grp") -> DataFrame:
 
     Ties of x stand in order of pos. A single row or a constant y gives null.
     """
-    w = Window.partitionBy(by)
-    peers = w.orderBy("y").rangeBetween(Window.unboundedPreceding, 0)
-    above = w.orderBy(F.desc("y")).rangeBetween(Window.unboundedPreceding, 0)
-    t = pairs.withColumn("r", F.count(F.lit(1)).over(peers)).withColumn("l", F.count(F.lit(1)).over(above)).withColumn("n", F.count(F.lit(1)).over(w))
-    t = t.withColumn("d", F.abs(F.col("r") - F.lag("r").over(w.orderBy("x", "pos"))))
-    # The deviation needs the ranks in rising order: place q of n, and the running sum of ranks.
-    rising = w.orderBy("r", "pos")
-    t = t.withColumn("q", F.row_number().over(rising)).withColumn("v", F.sum(F.col("r").cast("double")).over(rising.rowsBetween(Window.unboundedPreceding, 0)))
+    from sparkmat.operators.network import cut, numbered
+
+    # Places come from sorted ranges and not from a window over a group, which would be a task. A struct is equal to itself with nulls, too.
+    t = pairs.select(F.struct(by).alias("_k"), by, "x", "y", "pos")
+    t = cut(numbered(t, "_k", "y", "pos", name="_g")).withColumn("_t", F.struct("_k", "y"))
+    ties = cut(t.groupBy("_t").agg(F.min("_g").alias("lo"), F.max("_g").alias("hi"))).withColumn("_k", F.col("_t._k"))
+    size = ties.groupBy("_k").agg(F.min("lo").alias("start"), (F.max("hi") - F.min("lo") + 1).alias("n"))
+    ranks = ties.join(size, "_k").withColumn("r", F.col("hi") - F.col("start") + 1).withColumn("l", F.col("start") + F.col("n") - F.col("lo"))
+    ranks = cut(ranks.withColumn("s", (F.col("hi") - F.col("lo") + 1).cast("double") * F.col("r")).repartitionByRange("lo").withColumn("_p", F.spark_partition_id()))
+    # The deviation needs the ranks in rising order: place q of n, and the running sum v of ranks; before a tie: within its range, and of the ranges before.
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranks.groupBy("_p", "_k").agg(F.sum("s").alias("s")).select("_p", "_k", F.coalesce(F.sum("s").over(before.partitionBy("_k").orderBy("_p")), F.lit(0.0)).alias("far"))
+    ranks = ranks.withColumn("near", F.coalesce(F.sum("s").over(before.partitionBy("_p", "_k").orderBy("lo")), F.lit(0.0))).join(ranges, ["_p", "_k"])
+    t = t.drop("_k").join(ranks.select("_t", "_k", "r", "l", "n", "start", (F.col("near") + F.col("far") - (F.col("lo") - 1).cast("double") * F.col("r")).alias("v")), "_t")
+    t = t.select("_k", by, "x", "pos", "r", "l", "n", (F.col("_g") - F.col("start") + 1).alias("q"), (F.col("v") + F.col("_g").cast("double") * F.col("r")).alias("v"))
+    t = cut(numbered(t, "_k", "x", "pos", name="_h"))
+    last = t.select((F.col("_h") + 1).alias("_h"), F.col("_k").alias("_l"), F.col("r").alias("_r"))
+    t = t.join(last, "_h", "left").withColumn("d", F.when(F.col("_k") == F.col("_l"), F.abs(F.col("r") - F.col("_r"))))
     n = F.first("n").cast("double")
     den = 2 * F.sum(F.col("l") * (F.col("n") - F.col("l")))
     xi = 1 - F.first("n") * F.sum("d") / den

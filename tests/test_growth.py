@@ -121,3 +121,25 @@ def test_network_statistic_smooths_a_column_a_label(spark, monkeypatch):
     for _ in range(2):
         want = 0.85 * p @ want + 0.15 * m
     assert all(abs(got[i, j] - (want @ w)[i, j]) < 1e-9 for i in range(30) for j in range(2))
+
+
+def test_rank_correlation_has_no_window_over_a_group(spark):
+    """Before, five windows held a whole group in one task. Ties of y and a null group are kept."""
+    from sparkmat.operators import annotation as A
+
+    rng = np.random.default_rng(9)
+    rows = [(g, float(rng.integers(0, 40)), int(rng.integers(0, 25)), i) for i in range(400) for g in ("a", "b", None)]
+    df = A.xicor(spark.createDataFrame(rows, "grp string, x double, y long, pos long"))
+    text = plan(df)
+    assert "Window" not in text or "windowspecdefinition(grp" not in text
+    got = {r.grp: (r.xi, r.z) for r in df.collect()}
+    for grp in ("a", "b", None):
+        own = sorted((x, p, y) for g, x, y, p in rows if g == grp)
+        y = np.array([o[2] for o in own])
+        r, l, n = (y[None] <= y[:, None]).sum(1), (y[None] >= y[:, None]).sum(1), len(y)
+        xi = 1 - n * np.abs(np.diff(r)).sum() / (2 * (l * (n - l)).sum())
+        u, i = np.sort(r).astype(float), np.arange(1, n + 1)
+        v = np.cumsum(u)
+        a, b, c = ((2 * (n - i) + 1) * u * u).sum() / n**4, ((v + (n - i) * u) ** 2).sum() / n**5, ((2 * (n - i) + 1) * u).sum() / n**3
+        dev = np.sqrt((a - 2 * b + c * c) / ((l * (n - l)).sum() / n**3) ** 2 / n)
+        assert abs(got[grp][0] - xi) < 1e-9 and abs(got[grp][1] - xi / dev) < 1e-7
